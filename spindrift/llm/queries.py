@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import bpe, packing, token_io, warc
+from spindrift.llm import bpe, packing, simhash, token_io, warc
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -29,6 +29,11 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.simhash_dedup(_table(spark, sf_dir, "documents"), words=3, radius=3)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.warc_round_trip(_table(spark, sf_dir, "pages"), payloads=False, least=1000)
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -39,7 +44,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_bpe_round_trip, op6_warc_round_trip, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_bpe_round_trip, op5_simhash_dedup, op6_warc_round_trip, op10_token_files)}
 
 ORACLE_SQL = {
     "op6_warc_round_trip": """
