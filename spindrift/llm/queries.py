@@ -59,7 +59,7 @@ QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_bpe_round_trip, op3
 ORACLE_SQL = {
     "op3_embedding_near_dedup": """
         WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-        ok AS (SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(e, x -> x * x)) > 0),
+        ok AS (SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len([x FOR x IN e IF x IS NULL OR NOT isfinite(x)]) = 0 AND list_sum([x * x FOR x IN e]) > 0),
         link AS (SELECT a.vec_id AS x, b.vec_id AS y FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
         reach(x, y) AS (SELECT vec_id, vec_id FROM v UNION SELECT reach.x, link.y FROM reach JOIN link ON reach.y = link.x),
         c AS (SELECT x AS vec_id, min(y) AS component_id FROM reach GROUP BY x),
