@@ -34,7 +34,7 @@ _L, _N = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
 #: The split pattern of byte-level vocabularies, for the plain range and in general.
 _PLAIN_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+")
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-_CACHE_WORDS, _BATCH_BYTES = 800_000, 24 << 20
+_CACHE_WORDS, _BATCH_BYTES = 500_000, 12 << 20
 
 
 class PairIndexBpe:
@@ -134,23 +134,27 @@ class PairIndexBpe:
         return [ids32[a:b] for a, b in zip([0, *(walls[:-1] + 1).tolist()], walls.tolist(), strict=True)]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        parts: list[list] = []
+        """Ids of each text. Words become numbers as they are read, so that only distinct ones are held."""
+        number: dict[str | int, int] = {}
+        parts: list[np.ndarray] = []
         for text in texts:
             text = text or ""
             own, at = [], 0
             for m in self.cut_added.finditer(text) if self.added and "<" in text else ():
                 own += [*self.words(text[at : m.start()]), self.added[m[0]]]
                 at = m.end()
-            parts.append(own + self.words(text[at:]))
-        new = {w for p in parts for w in p} - self.cache.keys()
+            own += self.words(text[at:])
+            parts.append(np.array([number.setdefault(w, len(number)) for w in own], dtype=np.int32))
+        new = [w for w in number if w not in self.cache]
         if len(self.cache) + len(new) > _CACHE_WORDS:
             self.cache = {}
-            new = {w for p in parts for w in p}
-        new = list(new)
+            new = list(number)
         plain = [w for w in new if isinstance(w, str)]
         self.cache.update((w, x.tobytes()) for w, x in zip(plain, self.merge(plain), strict=True))
         self.cache.update((w, np.int32(w).tobytes()) for w in new if not isinstance(w, str))
-        return [np.frombuffer(b"".join([self.cache[w] for w in p]), dtype=np.int32) for p in parts]
+        ids = [self.cache[w] for w in number]
+        del number
+        return [np.frombuffer(b"".join([ids[k] for k in p.tolist()]), dtype=np.int32) for p in parts]
 
     def decode(self, ids: list[int]) -> str:
         known, n = self.bytes_of, len(self.bytes_of)
@@ -184,11 +188,11 @@ def bpe_encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str =
             ids = iter(bpe.encode([t for b in held for t in b.column(b.schema.get_field_index("_text")).to_pylist()]))
             for b in held:
                 own = [next(ids) for _ in range(b.num_rows)]
-                for k in range(0, b.num_rows, 1000):
-                    part = own[k : k + 1000]
+                for k in range(0, b.num_rows, 250):
+                    part = own[k : k + 250]
                     offsets = np.zeros(len(part) + 1, dtype=np.int32)
                     np.cumsum([len(x) for x in part], out=offsets[1:])
-                    yield _replace(b.slice(k, 1000), keep, ids_col, pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(part) if part else np.zeros(0, np.int32))))
+                    yield _replace(b.slice(k, 250), keep, ids_col, pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(part) if part else np.zeros(0, np.int32))))
 
         held, size = [], 0
         for b in batches:
@@ -213,8 +217,8 @@ def bpe_decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model(path)
         for b in batches:
-            for k in range(0, b.num_rows, 500):
-                part = b.slice(k, 500)
+            for k in range(0, b.num_rows, 250):
+                part = b.slice(k, 250)
                 ids = part.column(part.schema.get_field_index(ids_col))
                 yield _replace(part, keep, text_col, pa.array([bpe.decode([] if x.as_py() is None else x.values.to_numpy(zero_copy_only=False).tolist()) for x in ids], pa.string()))
 
