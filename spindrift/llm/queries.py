@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import ann, bpe, embedding_dedup, packing, simhash, token_io, warc
+from spindrift.llm import ann, bpe, embedding_dedup, packing, simhash, token_io, toxicity, warc
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -49,12 +49,19 @@ def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest_neighbours(vectors, vectors.where("vec_id % 100 = 0"), k=10, radius=30)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), folds=4, held=2)
+    scored = toxicity.score_texts(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", toxicity.in_fold(F.col("doc_id"), 4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = token_io.token_round_trip(_table(spark, sf_dir, "documents"), WORD_BPE, end_id=2)
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_bpe_round_trip, op3_embedding_near_dedup, op5_simhash_dedup, op6_warc_round_trip, op7_nearest_neighbours, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_bpe_round_trip, op3_embedding_near_dedup, op5_simhash_dedup, op6_warc_round_trip, op7_nearest_neighbours, op9_toxicity, op10_token_files)}
 
 ORACLE_SQL = {
     "op3_embedding_near_dedup": """
