@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import ann, bpe, embedding_dedup, packing, simhash, token_io, toxicity, warc
+from spindrift.llm import ann, bpe, embedding_dedup, lm_score, packing, simhash, token_io, toxicity, warc
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -34,6 +34,10 @@ def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", "n_links", "component_id", "kept")
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.lm_scores(_table(spark, sf_dir, "documents"), folds=7, held=2)
+
+
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_dedup(_table(spark, sf_dir, "documents"), words=3, radius=3)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -61,7 +65,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_bpe_round_trip, op3_embedding_near_dedup, op5_simhash_dedup, op6_warc_round_trip, op7_nearest_neighbours, op9_toxicity, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_bpe_round_trip, op3_embedding_near_dedup, op4_lm_score, op5_simhash_dedup, op6_warc_round_trip, op7_nearest_neighbours, op9_toxicity, op10_token_files)}
 
 ORACLE_SQL = {
     "op3_embedding_near_dedup": """
