@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import ann, bpe, embedding_dedup, lm_score, packing, simhash, token_io, toxicity, warc
+from spindrift.llm import ann, bpe, embedding_dedup, lm_score, packing, pii, simhash, token_io, toxicity, warc
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -53,6 +53,12 @@ def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest_neighbours(vectors, vectors.where("vec_id % 100 = 0"), k=10, radius=30)
 
 
+def op8_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    counts = [pii.count_of("base", k).alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.span_list(F.col("base")), 256).alias("base_sha256"), pii.span_list(F.col("spans")).alias("spans"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), folds=4, held=2)
@@ -65,7 +71,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_bpe_round_trip, op3_embedding_near_dedup, op4_lm_score, op5_simhash_dedup, op6_warc_round_trip, op7_nearest_neighbours, op9_toxicity, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_bpe_round_trip, op3_embedding_near_dedup, op4_lm_score, op5_simhash_dedup, op6_warc_round_trip, op7_nearest_neighbours, op8_contextual_pii, op9_toxicity, op10_token_files)}
 
 ORACLE_SQL = {
     "op3_embedding_near_dedup": """
