@@ -1,16 +1,58 @@
-"""The corpus pipeline: stages over ``documents``, each calling one operator of spindrift.llm."""
+"""The corpus pipeline: stages over ``documents``, each calling one operator of spindrift.llm.
+
+STAGES lists (name, function). Each function takes (spark, docs, sf_dir) and returns a DataFrame, which is written
+as Parquet in the shared folder and read again as the next one's ``docs``. All but the last return the columns of
+``documents``.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spindrift.llm import packing, pii, simhash, toxicity
+from spindrift.llm._store import materialise
+
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+#: A document whose toxicity score reaches this goes.
+TOXIC = 0.5
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier doesn't reject."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = toxicity.score_texts(docs, toxicity.fit(docs, labels), score_col="_toxicity")
+    return scored.where(F.col("_toxicity") < TOXIC).drop("_toxicity")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five-word shingles, a similarity of 0.8 or more."""
+    return simhash.drop_near_copies(docs, words=5, least=0.8)
+
+
+def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by its kind; n_chars follows the text."""
+    found = pii.redact(pii.find_pii(docs))
+    chars = F.when(F.size("spans") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return found.withColumn("n_chars", chars).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's pieces and their places in sequences of at most 4096 tokens."""
+    pieces = packing.token_pieces(docs, TOKENIZER, end_id=1, capacity=4096)
+    return packing.best_fit_pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "length", 4096)
+
+
+STAGES = [("toxicity", drop_toxic), ("simhash_near_dedup", drop_near_copies), ("pii", redact_pii), ("best_fit_packing", pack)]
 
-STAGES: list = []
+#: No SQL expresses a trained classifier, near copies or packing; the stages are tested against plain versions.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, one after another, over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

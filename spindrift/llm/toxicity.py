@@ -201,7 +201,9 @@ def score_texts(docs: DataFrame, model: Model, text_col: str = "text", score_col
         for b in batches:
             for k in range(0, b.num_rows, 500):
                 part = b.slice(k, 500)
-                scores = model.score(part.column(part.num_columns - 1).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(scores)], [*keep, score_col])
+                scores = model.score(part.column(at).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(scores)], [*keep, score_col])
 
-    return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, T.StructType([*(docs.schema[c] for c in keep), T.StructField(score_col, T.DoubleType())]))
+    at = keep.index(text_col) if text_col in keep else len(keep)
+    read = docs.select(*keep) if text_col in keep else docs.select(*keep, text_col)
+    return read.mapInArrow(run, T.StructType([*(docs.schema[c] for c in keep), T.StructField(score_col, T.DoubleType())]))
