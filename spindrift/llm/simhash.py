@@ -298,16 +298,16 @@ LOOSE = 22
 
 def sketch(text: str | None, words: int, seed: int = 42) -> tuple[int, list[int], np.ndarray]:
     """Fingerprint of a text's distinct shingles, its keys (smallest shingles under several orders), and the sorted
-    distinct shingle hashes."""
+    distinct low halves of the shingles' hashes, by which similarities are verified."""
     from xxhash import xxh64_intdigest
 
     w = (text or "").encode().lower().split()
     shingles = ([b" ".join(w)] if w else []) if len(w) < words else map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False))
     h = np.unique(np.fromiter((xxh64_intdigest(s, seed) for s in shingles), dtype=np.uint64))
     if not len(h):
-        return 0, list(range(KEYS)), h
+        return 0, list(range(KEYS)), h.astype(np.uint32)
     keys = [int(((h * np.uint64(a)) ^ ((h * np.uint64(a)) >> np.uint64(29))).min()) for a in _ODD]
-    return majority(h), keys, h
+    return majority(h), keys, np.unique(h.astype(np.uint32))
 
 
 def _sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
@@ -342,7 +342,7 @@ def _verify(batches: Iterator[pa.RecordBatch], least: float, loose: int) -> Iter
         number, left, right = (rows.column(c)[0].as_py() for c in ("number", "left", "right"))
         own, row, fp = (rows.column(c).to_numpy() for c in ("own", "row", "fp"))
         keys = rows.column("keys").combine_chunks().flatten().to_numpy().reshape(len(row), -1)
-        shingles = [np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()]
+        shingles = [np.frombuffer(x, np.uint32) for x in rows.column("shingles").to_pylist()]
         a = np.flatnonzero(own == left)
         b = np.flatnonzero(own == right)
         i, j = within(fp[a], fp[b], loose)
@@ -394,14 +394,17 @@ def drop_near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, loose:
     same = ["fp", F.xxhash64("shingles").alias("h")]
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
     classes = materialise(made.groupBy(*same).agg(first, F.count(F.lit(1)).alias("n")), "classes")
-    heads = materialise(made.join(classes.select(F.col("first.row").alias("row")), "row", "left_semi"), "heads")
-
-    keyed = heads.select("row", F.posexplode("keys").alias("number", "key"))
-    shared = materialise(keyed.groupBy("number", "key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("number", "key", F.ceil(F.col("c") / block).cast("int").alias("blocks")), "shared")
+    heads = made.select("row", "keys").join(classes.select(F.col("first.row").alias("row")), "row", "left_semi")
+    keyed = materialise(heads.select("row", "keys", F.posexplode("keys").alias("number", "key")), "keyed")
+    # A group all of whose rows also share an earlier key meets there already.
+    same_key = [F.when(F.lit(k) < F.col("number"), F.min(F.col("keys")[k]) == F.max(F.col("keys")[k])).otherwise(False) for k in range(KEYS)]
+    grouped = keyed.groupBy("number", "key").agg(F.count(F.lit(1)).alias("c"), *[f.alias(f"s{k}") for k, f in enumerate(same_key)])
+    fresh = grouped.where("c > 1 AND NOT (" + " OR ".join(f"s{k}" for k in range(KEYS)) + ")")
+    shared = materialise(fresh.select("number", "key", F.ceil(F.col("c") / block).cast("int").alias("blocks")), "shared")
     own = F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(F.least(F.col("own"), other).alias("left"), F.greatest(F.col("own"), other).alias("right")))
-    met = keyed.join(shared, ["number", "key"]).withColumn("own", own).withColumn("pair", F.explode(pairs)).select("row", "number", "key", "own", "pair.left", "pair.right")
-    met = met.join(heads, "row")
+    met = keyed.drop("keys").join(shared, ["number", "key"]).withColumn("own", own).withColumn("pair", F.explode(pairs)).select("row", "number", "key", "own", "pair.left", "pair.right")
+    met = materialise(met, "met").join(made.select("row", "fp", "keys", "shingles"), "row")
     spot = ["number", "key", "left", "right"]
     dealt = met.repartition(*spot).sortWithinPartitions(*spot).select(*spot, "own", "row", "fp", "keys", "shingles")
     links = materialise(dealt.mapInArrow(lambda it: _verify(it, least, loose), "a long, b long"), "verified")
