@@ -92,7 +92,7 @@ def top(df: DataFrame, by: list[str], order: list[Column | str], k: int) -> Data
 def changes(df: DataFrame, by: list[str], order: list[str], column: str) -> DataFrame:
     """Rows at which ``column`` differs from the row before, the first included."""
     before = F.lag(column).over(Window.partitionBy(*by).orderBy(*order))
-    return df.where(~before.eqNullSafe(F.col(column)))
+    return df.withColumn("_same", before.eqNullSafe(F.col(column))).where(~F.col("_same")).drop("_same")
 
 
 def minimal_coverage(counts: DataFrame, by: list[str], n: str, tie: str, coverage: float) -> DataFrame:
