@@ -2,23 +2,43 @@
 
 STAGES lists (name, function). Each function takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet in the shared folder and read again as the next one's ``docs``. All but the last return the columns of
-``documents``.
+``documents``. A stage first deletes the tables that earlier ones wrote for themselves: their results are written.
 """
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.llm import packing, pii, simhash, toxicity
-from spindrift.llm._store import materialise
+from spindrift.llm._store import marker, materialise, release, written_since
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 #: A document whose toxicity score reaches this goes.
 TOXIC = 0.5
 
 
+_earlier: list[str] = []
+
+
+def _stage(f):
+    """Before a stage runs, the tables that the one before it wrote for itself go."""
+
+    @functools.wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, _earlier, keep=(docs,))
+        mark = marker()
+        out = f(spark, docs, sf_dir)
+        _earlier[:] = written_since(mark)
+        return out
+
+    return run_stage
+
+
+@_stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier doesn't reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -26,11 +46,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where(F.col("_toxicity") < TOXIC).drop("_toxicity")
 
 
+@_stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, a similarity of 0.8 or more."""
     return simhash.drop_near_copies(docs, words=5, least=0.8)
 
 
+@_stage
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by its kind; n_chars follows the text."""
     found = pii.redact(pii.find_pii(docs))
@@ -38,6 +60,7 @@ def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.withColumn("n_chars", chars).select(*docs.columns)
 
 
+@_stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's pieces and their places in sequences of at most 4096 tokens."""
     pieces = packing.token_pieces(docs, TOKENIZER, end_id=1, capacity=4096)

@@ -15,6 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: str | None = None
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,17 +41,27 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, *frames_or_paths) -> None:
-    """Delete tables that :func:`materialise` wrote once nothing needs them."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    for x in frames_or_paths:
-        paths = [x] if isinstance(x, str) else {os.path.dirname(f) for f in x.inputFiles()}
-        for p in paths:
-            where = hadoop.Path(p)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+def marker() -> int:
+    """A point in the order in which :func:`materialise` writes."""
+    return len(_written)
+
+
+def written_since(mark: int) -> list[str]:
+    return _written[mark:]
+
+
+def release(spark: SparkSession, paths: list[str], keep: tuple[DataFrame, ...] = ()) -> None:
+    """Delete tables that :func:`materialise` wrote, but for those that ``keep`` still reads."""
+    files = [f for df in keep for f in df.inputFiles()]
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        if not any(f"/{path.rpartition('/')[2]}/" in f for f in files):
+            where = hadoop.Path(path)
+            where.getFileSystem(conf).delete(where, True)
 
 
 def filesystem(uri: str):

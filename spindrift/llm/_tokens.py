@@ -17,7 +17,7 @@ import numpy as np
 _PLAIN = re.compile("[\t-\r -~\x85\xa0-įı-ɏ‐-‧‰-⁞€]*")
 #: The splits of that tokenizer within the plain range (the general rule is in its file).
 _SPLITS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ɏ]+|[0-9²³¹¼-¾]|[^\\s0-9a-zªµºß-öø-ɏ²³¹¼-¾]+")
-_CACHE_CHUNKS = 1_000_000
+_CACHE_CHUNKS = 600_000
 
 
 def byte_letters() -> list[str]:

@@ -149,6 +149,7 @@ def find_pii(docs: DataFrame, rounds: int = 2, support: int = 5, confidence: flo
     found = materialise(found if keep_text else found.drop(text_col), "found")
     occurrences = materialise(found.select("_row", F.explode("_all").alias("_x")).select("_row", "_x.kind", "_x.start", "_x.stop", "_x.value", F.explode("_x.patterns").alias("pattern")), "occurrences")
     more = bootstrap(occurrences, rounds, support, confidence).groupBy("_row").agg(F.collect_list(F.struct("kind", "start", "stop")).alias("_more"))  # of one document
+    more = materialise(more, "discovered")  # so that its size is known before texts meet it
     base = F.transform(F.filter("_all", lambda x: x["kind"].isNotNull()), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["stop"].alias("stop")))
     empty = F.array().cast("array<struct<kind:string,start:int,stop:int>>")
     kept = [c for c in docs.columns if c not in ("base", "spans", "_row", "_tokens", *([] if keep_text else [text_col]))]

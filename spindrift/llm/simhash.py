@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spindrift.llm._store import materialise
+from spindrift.llm._store import marker, materialise, release, written_since
 from spindrift.llm.components import connected_components
 
 SEGMENTS = 5
@@ -390,6 +390,7 @@ def drop_near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, loose:
     groups are what links connect. Equal sets are one class. Classes meet under a key for each of several random
     orders of shingles (their smallest one), are compared there by bit-sliced fingerprints in blocks, and verified.    """
     rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")  # so that numbers stay
+    mark = marker()
     made = materialise(_sketches(rows, words, id_col, text_col), "sketches")
     same = ["fp", F.xxhash64("shingles").alias("h")]
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
@@ -404,11 +405,15 @@ def drop_near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, loose:
     own = F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(F.least(F.col("own"), other).alias("left"), F.greatest(F.col("own"), other).alias("right")))
     met = keyed.drop("keys").join(shared, ["number", "key"]).withColumn("own", own).withColumn("pair", F.explode(pairs)).select("row", "number", "key", "own", "pair.left", "pair.right")
-    met = materialise(met, "met").join(made.select("row", "fp", "keys", "shingles"), "row")
+    # What meets grows with the corpus, so it is never broadcast.
+    met = materialise(met, "met").join(made.select("row", "fp", "keys", "shingles").hint("merge"), "row")
     spot = ["number", "key", "left", "right"]
     dealt = met.repartition(*spot).sortWithinPartitions(*spot).select(*spot, "own", "row", "fp", "keys", "shingles")
     links = materialise(dealt.mapInArrow(lambda it: _verify(it, least, loose), "a long, b long"), "verified")
     component = connected_components(links)
     place = classes.select(F.col("first.row").alias("head"), "first").join(component, F.col("head") == F.col("node"), "left").withColumn("group", F.coalesce("component", "head"))
-    kept = materialise(place.groupBy("group").agg(F.min("first").alias("first")).select(F.col("first.row").alias("_kept")), "kept")
-    return rows.join(kept, F.col("_row") == F.col("_kept"), "left_semi").select(*docs.columns)
+    kept = place.groupBy("group").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
+    # Copies are fewer than documents, so it is they that are looked up.
+    dropped = materialise(made.select("row").join(kept, "row", "left_anti").select(F.col("row").alias("_dropped")), "dropped")
+    release(docs.sparkSession, written_since(mark), keep=(dropped,))
+    return rows.join(dropped, F.col("_row") == F.col("_dropped"), "left_anti").select(*docs.columns)
