@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.llm import packing, pii, simhash, toxicity
-from spindrift.llm._store import marker, materialise, release, written_since
+from spindrift.llm._store import marker, materialise, release, small_batches, written_since
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 #: A document whose toxicity score reaches this goes.
@@ -29,6 +29,7 @@ def _stage(f):
 
     @functools.wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
         release(spark, _earlier, keep=(docs,))
         mark = marker()
         out = f(spark, docs, sf_dir)

@@ -45,6 +45,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """At most ``rows`` texts in an Arrow batch: texts are long, and both sides of the pipe hold a batch."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) not in range(1, rows + 1):
+        spark.conf.set(key, str(rows))
+
+
 def marker() -> int:
     """A point in the order in which :func:`materialise` writes."""
     return len(_written)

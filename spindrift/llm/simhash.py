@@ -414,6 +414,6 @@ def drop_near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, loose:
     place = classes.select(F.col("first.row").alias("head"), "first").join(component, F.col("head") == F.col("node"), "left").withColumn("group", F.coalesce("component", "head"))
     kept = place.groupBy("group").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
     # Copies are fewer than documents, so it is they that are looked up.
-    dropped = materialise(made.select("row").join(kept, "row", "left_anti").select(F.col("row").alias("_dropped")), "dropped")
+    dropped = materialise(made.select("row").join(kept, "row", "left_anti").select(F.col("row").alias("_dropped")).sortWithinPartitions("_dropped"), "dropped")
     release(docs.sparkSession, written_since(mark), keep=(dropped,))
     return rows.join(dropped, F.col("_row") == F.col("_dropped"), "left_anti").select(*docs.columns)

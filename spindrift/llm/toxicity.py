@@ -153,7 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, sampl
                 counts[toxic > 0] += 1
                 for u in units(text):
                     seen.setdefault(u, [0, 0])[toxic > 0] += 1
-            if len(seen) > 400_000:
+            if len(seen) > 100_000:
                 yield pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array([x[0] for x in seen.values()], pa.int64()), pa.array([x[1] for x in seen.values()], pa.int64())], ["unit", "other", "toxic"])
                 seen = {}
         seen[""] = counts  # the rows themselves
