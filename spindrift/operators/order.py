@@ -30,28 +30,42 @@ def value_at_rank(df: DataFrame, t: str, rank: int) -> int:
     return low
 
 
-def boundaries_near(df: DataFrame, t: str, target: float) -> list[tuple[int, int]]:
-    """(rows up to the boundary, largest time before it) of the boundaries on either side of ``target`` rows."""
-    n = df.count()
+def boundaries_near(df: DataFrame, t: str, *fractions: float) -> tuple[int, list[tuple[int, int]]]:
+    """(rows, boundaries): a boundary is (rows up to it, largest time before it). Of times that span at most 2^16
+    values one count gives all boundaries; of others, those next to each fraction of the rows."""
+    c = df.agg(F.count(F.col(t)).alias("n"), F.min(t).alias("a"), F.max(t).alias("b")).first()
+    n = c["n"]
     if not n:
-        return []
-    at = value_at_rank(df, t, min(n - 1, max(0, int(target))))
+        return 0, []
+    if (c["b"] - c["a"]).bit_length() <= _BITS:
+        out, total = [], 0
+        for r in sorted(df.where(F.col(t).isNotNull()).groupBy(F.col(t).alias("t")).count().collect()):
+            total += r["count"]
+            out.append((total, r["t"]))
+        return n, out
+    return n, sorted({x for f in fractions for x in _around(df, t, min(n - 1, int(n * f)))})
+
+
+def _around(df: DataFrame, t: str, rank: int) -> list[tuple[int, int]]:
+    """The boundaries after and before the value at ``rank``, and one further on each side."""
+    at = value_at_rank(df, t, rank)
     c = df.agg(F.count(F.when(F.col(t) < at, 1)).alias("below"), F.count(F.when(F.col(t) <= at, 1)).alias("upto"), F.max(F.when(F.col(t) < at, F.col(t))).alias("before"), F.min(F.when(F.col(t) > at, F.col(t))).alias("next")).first()
     out = [(c["upto"], at)]
-    if c["below"]:
-        out.append((c["below"], c["before"]))
-        lower = df.agg(F.count(F.when(F.col(t) < c["before"], 1)).alias("n"), F.max(F.when(F.col(t) < c["before"], F.col(t))).alias("t")).first()
-        if lower["n"]:
-            out.append((lower["n"], lower["t"]))
-    if c["next"] is not None:
-        out.append((df.where(F.col(t) <= c["next"]).count(), c["next"]))
-    return sorted(out)
+    if c["below"] or c["next"] is not None:
+        d = df.agg(F.count(F.when(F.col(t) < c["before"], 1)).alias("n"), F.max(F.when(F.col(t) < c["before"], F.col(t))).alias("t"), F.count(F.when(F.col(t) <= c["next"], 1)).alias("m")).first()
+        if c["below"]:
+            out.append((c["below"], c["before"]))
+        if d["n"]:
+            out.append((d["n"], d["t"]))
+        if c["next"] is not None:
+            out.append((d["m"], c["next"]))
+    return out
 
 
 def split_time(df: DataFrame, t: str, fraction: float = 0.5) -> int | None:
     """Largest time of the first part: the boundary nearest to ``fraction`` of the rows, the earlier on a tie."""
-    target = df.count() * fraction
-    return min(boundaries_near(df, t, target), key=lambda b: (abs(b[0] - target), b[0]), default=(0, None))[1]
+    n, near = boundaries_near(df, t, fraction)
+    return min(near, key=lambda b: (abs(b[0] - n * fraction), b[0]), default=(0, None))[1]
 
 
 def split_two(df: DataFrame, t: str, fraction: float = 0.5) -> DataFrame:
@@ -61,10 +75,11 @@ def split_two(df: DataFrame, t: str, fraction: float = 0.5) -> DataFrame:
 
 def split_three(df: DataFrame, t: str, first: float = 0.5, second: float = 0.75) -> DataFrame:
     """Adds ``part`` 0, 1, 2: the two boundaries of least squared distance from the fractions, earlier on a tie."""
-    n = df.count()
-    near = {*boundaries_near(df, t, n * first), *boundaries_near(df, t, n * second)}
+    n, near = boundaries_near(df, t, first, second)
     near = [b for b in near if b[0] < n]
-    pairs = [((a[0] - n * first) ** 2 + (b[0] - n * second) ** 2, a[0], b[0], a[1], b[1]) for a in near for b in near if a[0] < b[0]]
+    # The squared distance is separable: only the few boundaries nearest to each target can be best.
+    close = lambda f: sorted(sorted(near, key=lambda b: (abs(b[0] - n * f), b[0]))[:3])
+    pairs = [((a[0] - n * first) ** 2 + (b[0] - n * second) ** 2, a[0], b[0], a[1], b[1]) for a in close(first) for b in close(second) if a[0] < b[0]]
     _, _, _, t1, t2 = min(pairs)
     return df.withColumn("part", (F.col(t) > t1).cast("int") + (F.col(t) > t2).cast("int"))
 

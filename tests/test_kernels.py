@@ -79,13 +79,16 @@ def test_som_finds_clusters():
 
 
 def test_splits(spark):
-    rows = [(i, t) for i, t in enumerate([5, 5, 5, 7, 7, 900000, 900000, 2000001, 3000000, 3000000])]
+    rows = [(i, t) for i, t in enumerate([5, 5, 5, 7, 7, 9000, 9000, 20001, 30000, 30000])]
     df = spark.createDataFrame(rows, "id long, t long")
     times = sorted(t for _, t in rows)
     assert [O.value_at_rank(df, "t", k) for k in range(10)] == times
     assert {r.id: r.part for r in O.split_two(df, "t").collect()} == {i: int(i > 4) for i in range(10)}
     three = {r.id: r.part for r in O.split_three(df, "t").collect()}
     assert [three[i] for i in range(10)] == [0] * 5 + [1] * 2 + [2] * 3
+    wide = df.withColumn("t", df.t * 10**9)  # too wide for one count: radix narrowing
+    assert {r.id: r.part for r in O.split_two(wide, "t").collect()} == {i: int(i > 4) for i in range(10)}
+    assert {r.id: r.part for r in O.split_three(wide, "t").collect()} == three
     assert [r.part for r in O.naive_split(df, ["t", "id"], 0.3).orderBy("id").collect()] == [0] * 3 + [1] * 7
 
 
