@@ -30,6 +30,12 @@ def with_own(events: DataFrame, bank: DataFrame, *columns: str, unit: str = "uni
     return events.join(F.broadcast(bank.select(unit, *columns)) if _fits(bank) else bank.select(unit, *columns), unit)
 
 
+def settled(bank: DataFrame) -> DataFrame:
+    """The bank as a fixed small table, so that later steps don't fit it again; one of over ``MOST_ROWS`` rows as it is."""
+    rows = bank.limit(MOST_ROWS + 1).collect()
+    return bank if len(rows) > MOST_ROWS else bank.sparkSession.createDataFrame(rows, bank.schema)
+
+
 def _fits(bank: DataFrame) -> bool:
     return len(bank.select(bank.columns[0]).limit(MOST_ROWS + 1).collect()) <= MOST_ROWS
 

@@ -31,7 +31,7 @@ def fitted(spark: SparkSession, sf_dir: str, percent: float = 95) -> tuple[DataF
     ev = events(spark, sf_dir)
     cut = O.split_time(ev, "t")
     first, second = ev.where(F.col("t") <= cut), ev.where(F.col("t") > cut)
-    bank = B.numbered(B.radii(first, B.centroids(first, D), distance, percent))
+    bank = B.settled(B.numbered(B.radii(first, B.settled(B.centroids(first, D)), distance, percent)))
     return first, second, bank
 
 
@@ -164,7 +164,7 @@ bp AS (SELECT vec_id, t.unit AS truth, box.unit AS u, max(greatest(0, lo - c, c
 
 def boxed(spark, sf_dir):
     first, second, bank = fitted(spark, sf_dir)
-    return first, second, B.boxes(first, bank, distance, 0.9, D, "vec_id")
+    return first, second, B.settled(B.boxes(first, bank, distance, 0.9, D, "vec_id"))
 
 
 @query(BOX + """, l AS (SELECT vec_id, CASE WHEN min(need) <= 2 THEN min(need) END AS level FROM bp GROUP BY vec_id)
