@@ -206,3 +206,93 @@ class Som:
 
     def assign(self, x: np.ndarray) -> np.ndarray:
         return self._nearest(x, self.centroids)
+
+
+def valley_detections(x: np.ndarray, low: float = 0.0, energy: float = 40.0, need: int = 3, cap: int = 7, at_valley: bool = True) -> np.ndarray:
+    """Detections in one electrode's samples, most of which are zero: where the counter of active samples stands at
+    ``need``, the sample is active, and two samples before lies a valley whose size and Teager energy exceed ``low``
+    and ``energy``. The counter runs on over the whole signal. Places are the valleys', or two samples later."""
+    n = len(x)
+    if n < 4:
+        return np.zeros(0, dtype=np.int64)
+    x = np.asarray(x, dtype=float)
+    active = x != 0
+    ready = (saturating_counter(active, cap) >= need) & active
+    t = np.arange(3, n)
+    before, valley, after, last = x[t - 3], x[t - 2], x[t - 1], x[t]
+    found = ready[t] & (valley < before) & (valley <= after) & (valley <= last) & (np.abs(valley) > low) & (np.abs(valley * valley - before * after) > energy)
+    return t[found] - (2 if at_valley else 0)
+
+
+class GridMap:
+    """A map of clusters on a grid twice as fine as the electrodes'; a cell holds one prototype at most.
+
+    An event looks for the nearest prototype within the five by five cells around its electrode, pulls it by a
+    sixteenth, and moves it to the cell where it then lies. After a batch, prototypes with too few events go; once a
+    batch leaves their number as it was, those that a neighbour in a two by two block outweighs go too. Every cell has
+    an id of its own (from 1); 0 is none.
+    """
+
+    FINE = 32
+
+    def __init__(self, rows: int, columns: int, scale: int = 8):
+        self.shape, self.scale = (2 * rows, 2 * columns), scale
+        r, c = np.indices(self.shape)
+        self.x, self.y = c * float(self.FINE), r * float(self.FINE)
+        self.on = np.ones(self.shape, dtype=bool)
+        self.hits = np.zeros(self.shape, dtype=np.int64)
+        self.ids = np.zeros(self.shape, dtype=np.int64)
+        self.settled = False
+
+    def batch(self, dx: np.ndarray, dy: np.ndarray, rows: np.ndarray, columns: np.ndarray, learn: bool = True) -> np.ndarray:
+        """Ids of the winners, -1 where no prototype is near; prototypes move with ``learn`` or without."""
+        before = int(self.on.sum())
+        if learn:
+            self.hits[:] = 0
+        out = np.full(len(dx), -1, dtype=np.int64)
+        col0, row0 = 2 * columns + rows % 2, 2 * rows
+        px, py = col0 * self.FINE + dx, row0 * self.FINE + dy
+        for i, (r, c, x, y) in enumerate(zip(row0.tolist(), col0.tolist(), px.tolist(), py.tolist(), strict=True)):
+            top, left = max(0, r - 2), max(0, c - 2)
+            window = np.s_[top : max(0, r + 3), left : max(0, c + 3)]
+            away = np.where(self.on[window], (self.x[window] - x) ** 2 + (self.y[window] - y) ** 2, np.inf)
+            if not away.size or not np.isfinite(away.min()):
+                continue
+            k, m = divmod(int(away.argmin()), away.shape[1])
+            old = (top + k, left + m)
+            out[i] = self.ids[old]
+            nx, ny = np.round((self.x[old] * 15 + x) / 16), np.round((self.y[old] * 15 + y) / 16)
+            new = tuple(int(np.clip(np.round(v / self.FINE), 0, size - 1)) for v, size in zip((ny, nx), self.shape, strict=True))
+            if new != old:
+                self.hits[new] += self.hits[old]
+                self.ids[new] = self.ids[old]
+                self.on[old], self.hits[old], self.ids[old] = False, 0, 0
+                self.on[new] = True
+            self.hits[new] += 1
+            self.x[new], self.y[new] = nx, ny
+        if learn:
+            alive = int(self.on.sum())
+            if alive:
+                self.on &= self.hits >= int(np.ceil(len(dx) / alive / self.scale))
+            if int(self.on.sum()) == before:
+                self._settle()
+        return out
+
+    def _settle(self) -> None:
+        self.settled = True
+        for r in range(self.shape[0] - 1):
+            for c in range(self.shape[1] - 1):
+                block = self.hits[r : r + 2, c : c + 2]
+                self.on[r : r + 2, c : c + 2] &= block > block.max() // self.scale
+        self.ids = np.where(self.on, np.arange(1, self.on.size + 1).reshape(self.shape), 0)
+
+    def fit(self, t: np.ndarray, dx: np.ndarray, dy: np.ndarray, rows: np.ndarray, columns: np.ndarray, span: int, most: int = 100) -> "GridMap":
+        """Batches of ``span`` in time, again and again until the number of prototypes stays; empty ones are passed over."""
+        order = np.argsort(t, kind="stable")
+        parts = np.split(order, np.flatnonzero(np.diff(t[order] // span)) + 1) if len(t) else []
+        for k in range(most if parts else 0):
+            p = parts[k % len(parts)]
+            self.batch(dx[p], dy[p], rows[p], columns[p])
+            if self.settled:
+                break
+        return self

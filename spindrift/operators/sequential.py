@@ -98,3 +98,28 @@ def best_accuracy(confusion: DataFrame, pred: str = "pred", truth: str = "truth"
         return 0.0
     grid = pdf.pivot_table(index=pred, columns=truth, values="n", fill_value=0).to_numpy()
     return float(sum(grid[r, c] for r, c in K.assignment(grid)) / grid.sum())
+
+
+def valleys(samples: DataFrame, key: str = "channel", **options) -> DataFrame:
+    """Detections (key, t, id) in each electrode's samples; see :func:`kernels.valley_detections`."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["t", "id"], kind="stable")
+        return pdf.iloc[K.valley_detections(pdf["x"].to_numpy(), **options)][[key, "t", "id"]]
+
+    rows = samples.select(key, "t", "id", "x")
+    kind = dict(rows.dtypes)
+    return rows.groupBy(key).applyInPandas(run, f"{key} {kind[key]}, t long, id long")
+
+
+def grid_clusters(events: DataFrame, rows: int, columns: int, span: int, key: str = "recording") -> DataFrame:
+    """id and cluster by a grid map fitted to each recording's events (t, id, dx, dy, row, col)."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["t", "id"], kind="stable")
+        t, *v = (pdf[c].to_numpy() for c in ("t", "dx", "dy", "row", "col"))
+        made = K.GridMap(rows, columns).fit(t, *v, span)
+        return pd.DataFrame({key: pdf[key].to_numpy(), "id": pdf["id"].to_numpy(), "cluster": made.batch(*v, learn=False)})
+
+    kind = dict(events.dtypes)
+    return events.select(key, "t", "id", "dx", "dy", "row", "col").groupBy(key).applyInPandas(run, f"{key} {kind[key]}, id long, cluster long")

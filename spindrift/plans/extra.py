@@ -277,3 +277,19 @@ def r18_manifest(spark, sf_dir):
 
     report = r1_r2_candidate_metrics(spark, sf_dir).select("n", "recall", "mean_c", "max_c").first().asDict()
     return spark.createDataFrame([(digest(report), report["n"])], "digest string, n long")
+
+
+@query()
+def e2_e4_valley_detector(spark, sf_dir):
+    """Valleys of a sparse signal behind a counter of active samples."""
+    s = samples(spark, sf_dir).withColumn("x", F.when(F.col("x") >= 10, -F.col("x")).otherwise(0.0))
+    return Q.valleys(s, low=20.0, energy=40.0)
+
+
+@query()
+def m1_grid_map(spark, sf_dir):
+    """M1: clusters of displacements on a grid of electrodes, one map a recording."""
+    w = F.col("w")
+    code = lambda x: F.least(F.greatest(R.half_even(x * 60), F.lit(-31)), F.lit(31)).cast("double")
+    ev = events(spark, sf_dir).select((F.col("vec_id") % 2).alias("recording"), "t", F.col("vec_id").alias("id"), code(w[0]).alias("dx"), code(w[1]).alias("dy"), (F.col("unit") % 4).cast("long").alias("row"), F.floor(F.col("unit") / 4).cast("long").alias("col"))
+    return Q.grid_clusters(ev, 4, 3, 40)

@@ -132,3 +132,23 @@ def test_streams_equal_batch(spark, tmp_path):
         q.awaitTermination()
         got = sorted(map(tuple, spark.table(f"out_{name}").collect()))
         assert got == sorted(map(tuple, batch(spark.createDataFrame(rows, schema)).collect()))
+
+
+def test_valley_detector():
+    x = np.array([0, 0, -1, -5, -20, -6, -3, 0, 0, 0, -30, 0, 0, 0.0])
+    assert K.valley_detections(x).tolist() == [4] and K.valley_detections(x, at_valley=False).tolist() == [6]
+    assert K.valley_detections(x, low=25).tolist() == [] and K.valley_detections(x[:3]).tolist() == []
+
+
+def test_grid_map_finds_the_places_of_events():
+    rng = np.random.default_rng(4)
+    n = 1200
+    kind = rng.integers(0, 3, n)
+    rows, cols = np.array([0, 2, 3])[kind], np.array([0, 2, 0])[kind]
+    t = np.sort(rng.integers(0, 6000, n))
+    dx, dy = rng.normal(np.array([10, -12, 0])[kind], 1), rng.normal(np.array([5, 8, -10])[kind], 1)
+    m = K.GridMap(4, 3).fit(t, dx, dy, rows, cols, 1000)
+    ids = m.batch(dx, dy, rows, cols, learn=False)
+    assert m.settled and (ids > 0).all()
+    assert all(len(set(ids[kind == k].tolist())) == 1 for k in range(3)) and len(set(ids.tolist())) == 3
+    assert K.GridMap(2, 2).fit(t[:0], dx[:0], dy[:0], rows[:0], cols[:0], 10).settled is False
