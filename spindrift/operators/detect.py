@@ -7,10 +7,28 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def neo(samples: DataFrame) -> DataFrame:
+def neighbours_in_time(samples: DataFrame, block: int) -> DataFrame:
+    """Adds ``before`` and ``after``: x of the samples next to each in its channel, null at the channel's ends.
+
+    Windows run within blocks of ``block`` in time, so a hot channel is many groups; a row for each block holds its
+    first and last x, and the blocks' ends get theirs from the blocks beside them.
+    """
+    s = samples.withColumn("_block", F.floor(F.col("t") / block))
+    at = F.struct("t", "id", "x")
+    ends = s.groupBy("channel", "_block").agg(F.min(at)["x"].alias("_first"), F.max(at)["x"].alias("_last"))
+    beside = Window.partitionBy("channel").orderBy("_block")
+    ends = ends.select("channel", "_block", F.lag("_last").over(beside).alias("_prev"), F.lead("_first").over(beside).alias("_next"))
+    w = Window.partitionBy("channel", "_block").orderBy("t", "id")
+    inner = s.withColumns({"before": F.lag("x").over(w), "after": F.lead("x").over(w), "_r": F.row_number().over(w), "_z": F.lead("id").over(w).isNull()})
+    full = inner.join(ends, ["channel", "_block"])
+    whole = full.withColumns({"before": F.when(F.col("_r") == 1, F.col("_prev")).otherwise(F.col("before")), "after": F.when(F.col("_z"), F.col("_next")).otherwise(F.col("after"))})
+    return whole.select(*samples.columns, "before", "after")
+
+
+def neo(samples: DataFrame, block: int = 86_400_000_000) -> DataFrame:
     """Adds ``neo``: x^2 - previous * next in the channel, zero at its ends."""
-    w = Window.partitionBy("channel").orderBy("t", "id")
-    return samples.withColumn("neo", F.coalesce(F.col("x") * F.col("x") - F.lag("x").over(w) * F.lead("x").over(w), F.lit(0.0)))
+    near = neighbours_in_time(samples, block)
+    return near.withColumn("neo", F.coalesce(F.col("x") * F.col("x") - F.col("before") * F.col("after"), F.lit(0.0))).drop("before", "after")
 
 
 def thresholds(samples: DataFrame, neo_factor: float, mad_factor: float, least: float) -> DataFrame:

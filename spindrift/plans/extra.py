@@ -293,3 +293,20 @@ def m1_grid_map(spark, sf_dir):
     code = lambda x: F.least(F.greatest(R.half_even(x * 60), F.lit(-31)), F.lit(31)).cast("double")
     ev = events(spark, sf_dir).select((F.col("vec_id") % 2).alias("recording"), "t", F.col("vec_id").alias("id"), code(w[0]).alias("dx"), code(w[1]).alias("dy"), (F.col("unit") % 4).cast("long").alias("row"), F.floor(F.col("unit") / 4).cast("long").alias("col"))
     return Q.grid_clusters(ev, 4, 3, 40)
+
+
+@query()
+def f20_attention_loop(spark, sf_dir):
+    """clusters give profiles, profiles weigh the slots, and the weighted footprints are clustered again; one
+    map a recording, profiles by recording and cluster."""
+    f = footprints(spark, sf_dir).select((F.col("vec_id") % 2).alias("recording"), F.col("vec_id").alias("id"), "p")
+    seen = f.withColumn("v", F.col("p"))
+    for turn in range(2):
+        found = Q.discovered(seen, "v", units=6, seed=turn)
+        labelled = f.join(found, ["recording", "id"])
+        means = labelled.groupBy("recording", "cluster").agg(F.array(*[F.avg(F.col("p")[k]) for k in range(7)]).alias("m"))
+        profile = means.select("recording", "cluster", F.transform("m", lambda x: x / F.greatest(V.array_sum(F.col("m")), F.lit(1e-12))).alias("profile"))
+        # A few rows a recording: fixed here, so that the next turn doesn't cluster again to read them.
+        labelled = labelled.join(F.broadcast(B.settled(profile)), ["recording", "cluster"])
+        seen = labelled.select("recording", "id", F.zip_with("p", "profile", lambda a, b: a * b * 7).alias("v"))
+    return found.select("recording", "id", "cluster")
