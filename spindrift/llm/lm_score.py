@@ -4,14 +4,19 @@ Texts are lower-cased (A-Z) and cut at ASCII white space; a token is a word's by
 text is a symbol of its own where a word would begin. The model is a trie of byte contexts of up to ``ORDER`` bytes
 within a token: counts of what followed each context in the training tokens. A symbol is coded from the longest
 context seen; a context that lacks it escapes to the next shorter one with the probability of method C (as many
-escapes as distinct symbols), and symbols that the longer context holds are excluded there. As contexts don't
-cross tokens, a text's log probability is the sum of its tokens', each computed once a block.
+escapes as distinct symbols), and symbols that the longer context holds are excluded there. For ``score``, contexts
+don't cross tokens: it is the sum of the tokens' log probabilities, each computed once a block, whatever their order.
+``text_score`` is the same method over the text as it runs (its words, each with a space, then the end): contexts of
+``ORDER`` bytes go on from word to word, and every position is coded in its own context.
 
 Plan: one pass over the texts numbers the words of each block of texts, and writes the texts as word numbers and
 the blocks' words with counts. Counts are summed by word; the trie's counts are summed from the words, per node
 and symbol. The trie goes to the executors as sorted arrays if it has at most ``trie_rows`` edges, checked
 before it is gathered; a larger one stays a table, and each context of a word's symbols is looked up by joins,
 with equal results. Words' counts and log probabilities then go back to their blocks, which meet their texts there.
+For ``text_score`` a pass before that counts contexts and symbols of the training positions, summed within a task
+before they are shuffled; texts are scored by chunks of ``_CHUNK_BYTES``, each distinct context and symbol of a chunk
+once. A trie too large for the executors is joined to the chunks' distinct contexts and symbols.
 
 Defined cases: a null text is an empty one, which is an end alone; a null id is the text of no digits for the
 fold; without any training row the base is that of counts of zero, and symbols are equally likely; an empty
@@ -24,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,6 +42,8 @@ ORDER, SYMBOLS = 5, 257
 _BITS = 9
 _SPACE, _END = 0x20 + 1, 257
 _BLOCK_BYTES = 24 << 20
+#: Bytes of text whose positions are held at a time, and distinct contexts that a task sums before it passes them on.
+_CHUNK_BYTES, _HELD_GRAMS = 2 << 20, 1_000_000
 _TRIE_ROWS = 4_000_000
 
 
@@ -58,6 +66,24 @@ def positions(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return full, place
 
 
+def text_positions(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The same for whole texts: contexts run over their words, and the place is the text's."""
+    pad = b"\x00" * (ORDER - 1) + b" "
+    runs = [pad + b"".join([w + b" " for w in t.split()]) + b" " for t in texts]
+    lengths = np.fromiter(map(len, runs), dtype=np.int64, count=len(runs))
+    flat = np.frombuffer(b"".join(runs), dtype=np.uint8).astype(np.int64) + 1
+    ends = np.cumsum(lengths)
+    flat[ends - 1] = _END
+    starts = (ends - lengths)[:, None] + np.arange(ORDER)
+    flat[starts[:, :-1]] = 0
+    full = flat.copy()
+    for k in range(1, ORDER + 1):
+        full[k:] |= flat[:-k] << _BITS * k
+    coded = np.ones(len(flat), dtype=bool)
+    coded[starts] = False
+    return full[coded], np.repeat(np.arange(len(texts), dtype=np.int32), lengths - ORDER)
+
+
 def shorter(full: np.ndarray, order: int) -> np.ndarray:
     """Context of at most ``order`` symbols, and symbol."""
     return full & ((1 << _BITS * (order + 1)) - 1)
@@ -134,10 +160,25 @@ def word_scores(trie: Trie, words: list[bytes]) -> np.ndarray:
     return np.bincount(place, trie.log10(distinct)[inverse], len(words))
 
 
+def text_scores(trie: Trie, texts: list[bytes]) -> np.ndarray:
+    full, place = text_positions(texts)
+    distinct, inverse = _distinct(full)
+    order = np.argsort(distinct)  # look-ups in order stay near one another
+    logp = np.empty(len(distinct))
+    logp[order] = trie.log10(distinct[order])
+    return np.bincount(place, logp[inverse], len(texts))
+
+
+def _distinct(full: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers in the order in which they come, and each one's place there; hashed, not sorted."""
+    coded = pa.array(full).dictionary_encode()
+    return coded.dictionary.to_numpy(), coded.indices.to_numpy()
+
+
 # ------------------------------------------------------------------ Spark
 
 
-_PASS = T.StructType([T.StructField("block", T.LongType()), T.StructField("word", T.BinaryType()), T.StructField("number", T.IntegerType()), T.StructField("count", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("held_out", T.BooleanType()), T.StructField("low", T.BinaryType()), T.StructField("high", T.BinaryType())])
+_PASS = T.StructType([T.StructField("block", T.LongType()), T.StructField("word", T.BinaryType()), T.StructField("number", T.IntegerType()), T.StructField("count", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("held_out", T.BooleanType()), T.StructField("low", T.BinaryType()), T.StructField("high", T.BinaryType()), T.StructField("text_score", T.DoubleType())])
 
 
 def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,10 +188,10 @@ def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     from pyspark import TaskContext
 
-    schema = pa.schema([("block", pa.int64()), ("word", pa.binary()), ("number", pa.int32()), ("count", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("low", pa.binary()), ("high", pa.binary())])
+    schema = pa.schema([("block", pa.int64()), ("word", pa.binary()), ("number", pa.int32()), ("count", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("low", pa.binary()), ("high", pa.binary()), ("text_score", pa.float64())])
     block = TaskContext.get().partitionId() << 24
 
-    def flush(number: dict[bytes, int], texts: list[np.ndarray], ids: list, held: list) -> Iterator[pa.RecordBatch]:
+    def flush(number: dict[bytes, int], texts: list[np.ndarray], ids: list, held: list, whole: list) -> Iterator[pa.RecordBatch]:
         n = len(number)
         every = np.concatenate(texts)
         total = np.bincount(every, minlength=n)
@@ -164,7 +205,7 @@ def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in range(0, n, 20_000):
             own = order[k : k + 20_000]
             m = len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, block)), pa.array([words[i] for i in own.tolist()], pa.binary()), pa.array(np.arange(k, k + m, dtype=np.int32)), pa.array(counts[own]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, block)), pa.array([words[i] for i in own.tolist()], pa.binary()), pa.array(np.arange(k, k + m, dtype=np.int32)), pa.array(counts[own]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.float64())], schema=schema)
         for k in range(0, len(texts), 500):
             low, high = [], []
             for t in texts[k : k + 500]:
@@ -172,24 +213,25 @@ def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 low.append(r[r < 65536].astype("<u2").tobytes())
                 high.append(r[r >= 65536].astype("<u4").tobytes())
             m = len(low)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, block)), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.array(ids[k : k + 500], pa.int64()), pa.array(held[k : k + 500]), pa.array(low, pa.binary()), pa.array(high, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, block)), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.array(ids[k : k + 500], pa.int64()), pa.array(held[k : k + 500]), pa.array(low, pa.binary()), pa.array(high, pa.binary()), pa.array(whole[k : k + 500], pa.float64())], schema=schema)
 
-    number, texts, ids, held, size = {b"": 0}, [], [], [], 0
+    number, texts, ids, held, whole, size = {b"": 0}, [], [], [], [], 0
     for b in batches:
-        for key, text, out in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        for key, text, out, score in zip(*(c.to_pylist() for c in b.columns), strict=True):
             data = (text or "").encode().lower()
             own = [number.setdefault(w, len(number)) for w in data.split()]
             own.append(0)
             texts.append(np.array(own, dtype=np.int32))
             ids.append(key)
             held.append(out)
+            whole.append(score)
             size += len(data)
             if size >= _BLOCK_BYTES:
-                yield from flush(number, texts, ids, held)
-                number, texts, ids, held, size = {b"": 0}, [], [], [], 0
+                yield from flush(number, texts, ids, held, whole)
+                number, texts, ids, held, whole, size = {b"": 0}, [], [], [], [], 0
                 block += 1
     if texts:
-        yield from flush(number, texts, ids, held)
+        yield from flush(number, texts, ids, held, whole)
 
 
 def _trie_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,6 +243,109 @@ def _trie_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(distinct), pa.array(np.bincount(inverse, counts, len(distinct)).astype(np.int64))], ["full", "c"])
 
 
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of (doc_id, text, held_out) of at most ``_CHUNK_BYTES`` of text, or one text, with the texts' bytes."""
+    for b in batches:
+        sizes = [n or 0 for n in pc.binary_length(b.column(1)).to_pylist()]
+        first, size = 0, 0
+        for i, n in enumerate([*sizes, _CHUNK_BYTES]):
+            if i > first and size + n > _CHUNK_BYTES or i == len(sizes) > first:
+                part = b.slice(first, i - first)
+                yield part, [(t or "").encode().lower() for t in part.column(1).to_pylist()]
+                first, size = i, 0
+            size += n
+
+
+def _text_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of longest contexts with symbols over the positions of the training texts."""
+    grams, counts = [], []
+
+    def merge() -> None:
+        every, inverse = _distinct(np.concatenate(grams))
+        counts[:] = [np.bincount(inverse, np.concatenate(counts), len(every)).astype(np.int64)]
+        grams[:] = [every]
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(grams[0]), 200_000):
+            yield pa.RecordBatch.from_arrays([pa.array(grams[0][k : k + 200_000]), pa.array(counts[0][k : k + 200_000])], ["full", "c"])
+        grams.clear()
+        counts.clear()
+
+    for part, texts in _chunks(batches):
+        own = [t for t, out in zip(texts, part.column(2).to_pylist(), strict=True) if not out]
+        if own:
+            distinct, inverse = _distinct(text_positions(own)[0])
+            grams.append(distinct)
+            counts.append(np.bincount(inverse, minlength=len(distinct)))
+        if sum(map(len, grams)) > _HELD_GRAMS:
+            merge()
+            if len(grams[0]) > _HELD_GRAMS // 2:
+                yield from flush()
+    if grams:
+        merge()
+        yield from flush()
+
+
+_built: list = []
+
+
+def _trie_of(arrays) -> Trie:
+    """The trie of a broadcast, built once in a worker."""
+    if not _built or _built[0] is not arrays:
+        _built[:] = [arrays, Trie(*arrays.value)]
+    return _built[1]
+
+
+def _texts_by_arrays(docs: DataFrame, edges: DataFrame) -> DataFrame:
+    """The blocks' rows of :func:`_number`, its texts with their scores."""
+    got = edges.toArrow()
+    arrays = docs.sparkSession.sparkContext.broadcast((got.column("full").to_numpy(), got.column("c").to_numpy().astype(float)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def scored() -> Iterator[pa.RecordBatch]:
+            for b, texts in _chunks(batches):
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text_scores(_trie_of(arrays), texts))], [*b.schema.names, "text_score"])
+
+        return _number(scored())
+
+    return docs.mapInArrow(run, _PASS)
+
+
+def _texts_by_joins(docs: DataFrame, edges: DataFrame) -> DataFrame:
+    """The same without gathering the trie: each chunk's distinct contexts and symbols are looked up by joins."""
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        for i, (b, _) in enumerate(_chunks(batches)):
+            chunk = (TaskContext.get().partitionId() << 32) + i
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, chunk)), *b.columns], ["chunk", *b.schema.names])
+
+    def symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            chunk = b.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(chunk)]
+            for first, last in zip(cuts, cuts[1:], strict=False):
+                for _, texts in _chunks([b.slice(first, last - first).select(["doc_id", "text", "held_out"])]):
+                    own, _ = _distinct(text_positions(texts)[0])
+                    for k in range(0, len(own), 200_000):
+                        part = own[k : k + 200_000]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), chunk[first])), pa.array(part)], ["of_chunk", "full"])
+
+    def deliver(key, texts: pa.Table, scored: pa.Table) -> pa.Table:
+        order = np.argsort(scored.column("full").to_numpy())
+        full, logp = scored.column("full").to_numpy()[order], scored.column("logp").to_numpy()[order]
+        own, place = text_positions([(t or "").encode().lower() for t in texts.column("text").to_pylist()])
+        distinct, inverse = _distinct(own)
+        score = np.bincount(place, logp[np.searchsorted(full, distinct)][inverse], texts.num_rows)
+        return texts.drop_columns("chunk").append_column("text_score", pa.array(score))
+
+    kept = materialise(docs.mapInArrow(number, "chunk long, doc_id long, text string, held_out boolean"), "chunks")
+    grams = materialise(kept.mapInArrow(symbols, "of_chunk long, full long"), "grams")
+    scored = grams.join(_logp_by_joins(grams.select("full").distinct(), edges), "full")
+    return kept.groupBy("chunk").cogroup(scored.groupBy("of_chunk")).applyInArrow(deliver, "doc_id long, text string, held_out boolean, text_score double").mapInArrow(_number, _PASS)
+
+
 def _scored_by_arrays(words: DataFrame, edges: DataFrame) -> DataFrame:
     got = edges.toArrow()
     spark = words.sparkSession
@@ -227,14 +372,20 @@ def _scored_by_joins(words: DataFrame, edges: DataFrame) -> DataFrame:
                 full, place = positions(part.column(0).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(place)), pa.array(full)], ["word", "full"])
 
+    rows = materialise(words.select("word").mapInArrow(symbols, "word binary, full long"), "symbols")
+    return words.join(rows.join(_logp_by_joins(rows.select("full").distinct(), edges), "full").groupBy("word").agg(F.sum("logp").alias("score")), "word")
+
+
+def _logp_by_joins(grams: DataFrame, edges: DataFrame) -> DataFrame:
+    """full and logp of distinct contexts with symbols."""
+
     def cut(c: F.Column, order: int) -> F.Column:
         return c.bitwiseAND(F.lit((1 << _BITS * (order + 1)) - 1))
 
     def length(c: F.Column) -> F.Column:
         return sum((F.shiftright(c, _BITS * k) > 0).cast("int") for k in range(1, ORDER + 1))
 
-    rows = materialise(words.select("word").mapInArrow(symbols, "word binary, full long"), "symbols")
-    state = rows.select("full").distinct().withColumns({"logp": F.lit(0.0), "x": F.lit(0.0), "xk": F.lit(0.0), "done": F.lit(False)})
+    state = grams.withColumns({"logp": F.lit(0.0), "x": F.lit(0.0), "xk": F.lit(0.0), "done": F.lit(False)})
     by_order = [materialise(edges.where(length(F.col("full")) >= k).groupBy(cut(F.col("full"), k).alias("e")).agg(F.sum("c").cast("double").alias("ec")), "edges") for k in range(ORDER + 1)]
     for k in range(ORDER, -1, -1):
         own = by_order[k].withColumn("node", F.shiftright("e", _BITS))
@@ -252,8 +403,7 @@ def _scored_by_joins(words: DataFrame, edges: DataFrame) -> DataFrame:
         step = F.when(hit, F.log10(F.col("ec") / whole)).when(seen & (kinds > 0), F.log10(kinds / whole)).otherwise(0.0)
         state = materialise(met.select("full", (F.col("logp") + step).alias("logp"), F.coalesce("na", "x").alias("x"), F.coalesce("nk", "xk").alias("xk"), (F.col("done") | hit).alias("done")), "state")
     root = by_order[0].agg((F.lit(SYMBOLS) - F.count(F.lit(1))).alias("rest"))
-    final = state.join(F.broadcast(root)).select("full", (F.col("logp") - F.when(F.col("done"), 0.0).otherwise(F.log10("rest"))).alias("logp"))
-    return words.join(rows.join(final, "full").groupBy("word").agg(F.sum("logp").alias("score")), "word")
+    return state.join(F.broadcast(root)).select("full", (F.col("logp") - F.when(F.col("done"), 0.0).otherwise(F.log10("rest"))).alias("logp"))
 
 
 def _deliver(key, texts: pa.Table, words: pa.Table) -> pa.Table:
@@ -265,16 +415,18 @@ def _deliver(key, texts: pa.Table, words: pa.Table) -> pa.Table:
     for i, (low, high) in enumerate(zip(texts.column("low").to_pylist(), texts.column("high").to_pylist(), strict=True)):
         ids = np.concatenate([np.frombuffer(low, "<u2"), np.frombuffer(high, "<u4")]).astype(np.int64)
         n[i], k[i], b[i], s[i] = len(ids), known[ids].sum(), base[ids].sum(), score[ids].sum()
-    return pa.table({"doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), "n_tokens": n.astype(np.int64), "n_known": k.astype(np.int64), "base_score": b, "score": s})
+    return pa.table({"doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), "n_tokens": n.astype(np.int64), "n_known": k.astype(np.int64), "base_score": b, "score": s, "text_score": texts.column("text_score")})
 
 
 def lm_scores(docs: DataFrame, folds: int = 7, held: int = 2, trie_rows: int = _TRIE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every text.
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and text_score of every text.
 
     Rows whose id's CRC-32 modulo ``folds`` is ``held`` are scored but never counted.
     """
     out = F.coalesce(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds == held, F.lit(False))
-    numbered = materialise(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), out.alias("held_out")).mapInArrow(_number, _PASS), "numbered")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), out.alias("held_out"))
+    grams = materialise(docs.mapInArrow(_text_counts, "full long, c long").groupBy("full").agg(F.sum("c").alias("c")), "text_trie")
+    numbered = materialise(_texts_by_arrays(docs, grams) if grams.count() <= trie_rows else _texts_by_joins(docs, grams), "numbered")
     in_blocks = numbered.where("word IS NOT NULL").select(F.col("block").alias("of_block"), "word", "number", "count")
     words = materialise(in_blocks.groupBy("word").agg(F.sum("count").alias("c")), "words")
     sizes = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
@@ -284,6 +436,6 @@ def lm_scores(docs: DataFrame, folds: int = 7, held: int = 2, trie_rows: int = _
     scored = materialise(_scored_by_arrays(words, edges) if small else _scored_by_joins(words, edges), "scored")
     base = F.log10((F.col("c") + 1) / F.lit(float(n + v + 1)))
     found = in_blocks.select("of_block", "word", "number").join(scored, "word").select("of_block", "number", (F.col("c") > 0).cast("int").alias("known"), base.alias("base"), "score")
-    texts = numbered.where("low IS NOT NULL").select("block", "doc_id", "held_out", "low", "high")
-    result = texts.groupBy("block").cogroup(found.groupBy("of_block")).applyInArrow(_deliver, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return result.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+    texts = numbered.where("low IS NOT NULL").select("block", "doc_id", "held_out", "low", "high", "text_score")
+    result = texts.groupBy("block").cogroup(found.groupBy("of_block")).applyInArrow(_deliver, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, text_score double")
+    return result.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score", "text_score")

@@ -97,3 +97,32 @@ def test_empty_tables(spark, docs):
     (r,) = lm_score.lm_scores(spark.createDataFrame([(only, "a b")], "doc_id long, text string")).collect()
     assert (r.train_tokens, r.n_known, r.n_tokens, r.base_score) == (0, 0, 3, 0.0)
     assert r.score == pytest.approx(-5 * math.log10(SYMBOLS))
+
+
+class RunningPpm(PlainPpm):
+    """Contexts that run over a whole text: its words, each with a space, then the end."""
+
+    @staticmethod
+    def symbols(text):
+        line = [*b"".join(w + b" " for w in text), 256]
+        for i, s in enumerate(line):
+            yield (32, *line[:i])[-ORDER:], s
+
+
+@pytest.mark.parametrize("trie_rows", [10**6, 0])
+def test_texts_equal_plain_model_over_words(spark, docs, trie_rows, monkeypatch):
+    monkeypatch.setattr(lm_score, "_CHUNK_BYTES", 2000)
+    docs = [(i, t if t is None else t[:20_000]) for i, t, _ in docs]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in lm_score.lm_scores(df, trie_rows=trie_rows).collect()}
+    model = RunningPpm([tokens(t)[:-1] for i, t in docs if not held(i)])
+    for i, t in docs:
+        assert got[i].text_score == pytest.approx(model.log10(tokens(t)[:-1]), rel=1e-9)
+
+
+def test_order_of_words_counts(spark):
+    train = [i for i in range(99) if not held(i)][:20]
+    a, b = [i for i in range(99) if held(i)][:2]
+    rows = [(i, "green tea and black tea") for i in train] + [(a, "green tea and black tea"), (b, "tea black green and tea")]
+    got = {r.doc_id: r for r in lm_score.lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[a].score == pytest.approx(got[b].score) and got[a].text_score > got[b].text_score + 1
