@@ -1,6 +1,7 @@
 """Near-duplicate vectors: ITQ codes, multi-index Hamming tables, and a rerank with the original vectors.
 
-Equal vectors of a label are one class. A class's code is cut into substrings of 16 bits; each is a table. A
+Equal vectors of a label are one class. Codes are of directions (vectors scaled to length 1), as links are by cosine,
+and so is the sample that they are fitted on. A class's code is cut into substrings of 16 bits; each is a table. A
 class enters, in every table, under its substring and under those with one of its ``probes`` least certain
 bits flipped; two classes whose codes are near meet under some key. Keys with one class fall away before any
 vector moves. Under a key, vectors are compared in blocks by their cosines in double precision; a key with
@@ -64,9 +65,8 @@ def _compare(batches: Iterator[pa.RecordBatch], model: itq.Itq, probes: int, lea
     def block(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         key, left, right = (rows.column(c)[0].as_py() for c in ("key", "left", "right"))
         own, cid, n = (rows.column(c).to_numpy() for c in ("own", "cid", "n"))
-        x = itq.matrix(rows.column("vector").combine_chunks())
-        unit = x / np.sqrt((x * x).sum(axis=1))[:, None]
-        keys = table_keys(model.project(x), probes)
+        x = unit = itq.unit(itq.matrix(rows.column("vector").combine_chunks()))
+        keys = table_keys(model.project(unit), probes)
         a, b = (np.flatnonzero(own == left), np.flatnonzero(own == right)) if left != right else (np.arange(len(x)),) * 2
         i, j = np.nonzero(unit[a] @ unit[b].T >= least)
         i, j = a[i], b[j]
@@ -108,7 +108,7 @@ def embedding_near_dedup(vectors: DataFrame, least: float = 0.98, probes: int =
     same = [F.col(label_col).alias("label"), F.col("_h1").alias("h1"), F.col("_h2").alias("h2")]
     classes = marked.where("_ok").groupBy(*same).agg(F.min(id_col).alias("first"), F.count(F.lit(1)).alias("n"), F.first(vector_col).alias("vector"))
     classes = materialise(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    model = itq.fit_table(classes, "h1", "vector", sample=sample)
+    model = itq.fit_table(classes, "h1", "vector", sample=sample, scaled=True)
     alone = vectors.withColumns({"n_links": F.lit(0).cast("long"), "component_id": F.col(id_col), "kept": F.lit(True)})
     if model is None:
         return alone
@@ -118,7 +118,7 @@ def embedding_near_dedup(vectors: DataFrame, least: float = 0.98, probes: int =
         for b in batches:
             for k in range(0, b.num_rows, 4096):
                 part = b.slice(k, 4096)
-                keys = table_keys(model.project(itq.matrix(part.column(1))), probes)
+                keys = table_keys(model.project(itq.unit(itq.matrix(part.column(1)))), probes)
                 rows = np.repeat(np.arange(len(keys)), keys.shape[1])
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), part.column(2).take(pa.array(rows)), pa.array(keys.reshape(-1))], ["cid", "label", "key"])
 

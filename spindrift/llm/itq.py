@@ -60,14 +60,22 @@ def usable(vector: F.Column) -> F.Column:
     return F.coalesce(vector.isNotNull() & finite & F.exists(wide, lambda v: v != 0), F.lit(False))
 
 
-def fit_table(vectors: DataFrame, id_col: str, vector_col: str, bits: int = 64, sample: int = SAMPLE) -> Itq | None:
-    """Fit on the sample of usable vectors of the dimension that most of the sample has; None without any."""
+def fit_table(vectors: DataFrame, id_col: str, vector_col: str, bits: int = 64, sample: int = SAMPLE, scaled: bool = False) -> Itq | None:
+    """Fit on the sample of usable vectors of the dimension that most of the sample has; None without any.
+    With ``scaled``, on their directions."""
     rows = vectors.select(vector_col).orderBy(F.xxhash64(id_col), F.xxhash64(vector_col)).limit(sample).collect()
     if not rows:
         return None
     sizes = [len(r[0]) for r in rows]
     size = max(sorted(set(sizes)), key=sizes.count)
-    return fit(np.array([r[0] for r in rows if len(r[0]) == size], dtype=np.float64), bits)
+    x = np.array([r[0] for r in rows if len(r[0]) == size], dtype=np.float64)
+    return fit(unit(x) if scaled else x, bits)
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1; by their largest parts first, so that squares neither overflow nor vanish."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
 def matrix(column) -> np.ndarray:

@@ -78,3 +78,17 @@ def test_rotation_balances():
     model = itq.fit(x)
     assert model.bits == 16 and np.allclose(model.rotation.T @ model.rotation, np.eye(16))
     assert 0.3 < np.mean(model.project(x) > 0) < 0.7
+
+
+def test_lengths_do_not_hide_equal_directions(spark):
+    from spindrift.llm.embedding_dedup import embedding_near_dedup
+
+    rng = np.random.default_rng(3)
+    x = np.repeat(rng.normal(size=(300, 64)) + 0.8, 2, axis=0)
+    x[1::2] += 0.1 * rng.normal(size=(300, 64))
+    x *= rng.lognormal(0, 1, 600)[:, None]
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    want = (u @ u.T >= 0.98).sum(axis=1) - 1
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in embedding_near_dedup(df).collect()}
+    assert want.sum() >= 500 and sum(got.values()) >= 0.99 * want.sum() and all(got[i] <= n for i, n in enumerate(want))
