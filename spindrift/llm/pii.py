@@ -10,7 +10,8 @@ sign), is an instance with lexical patterns: the three words before it, and the
 like a cue (``phone:``, ``id=``). Known instances (at first the base entities) score the patterns of the
 pattern-instance graph; a pattern that at least ``support`` distinct known values of a kind, from as many
 documents, confirm, and at least ``confidence`` of whose distinct values are known of that kind, makes the other
-tokens that it extracts known instances too, for the next round. Their occurrences are spans beside the base ones, unless they overlap one.
+tokens that it extracts known instances too, for the next round. Rounds go on until none finds a new value. All
+occurrences of what was found, under whatever context, are spans beside the base ones, unless they overlap one.
 
 All is DataFrame and SQL functions. The graph is aggregated by pattern and value before patterns are judged, so a
 hot pattern or value is a sum, not a group in one task; tables between rounds are written to the shared folder.
@@ -111,19 +112,34 @@ def _contexts(text: Column, start: Column) -> Column:
     return F.filter(F.array(three, cue), lambda p: p.isNotNull())
 
 
-def bootstrap(occurrences: DataFrame, rounds: int = 2, support: int = 5, confidence: float = 0.8, row_col: str = "_row") -> DataFrame:
-    """Row, kind, start, stop of the occurrences that accepted patterns discover."""
-    values = materialise(occurrences.groupBy("pattern", "value").agg(F.max("kind").alias("kind"), F.approx_count_distinct(row_col).alias("docs"), F.min(row_col).alias("doc")), "graph")
-    known = values.where("kind IS NOT NULL").select("value", "kind").distinct()
-    accepted = None
-    for _ in range(rounds):
-        graph = values.select("pattern", "value", "doc").join(known, "value", "left")
-        per_kind = graph.groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("doc").alias("docs"))
-        judged = per_kind.groupBy("pattern").agg(F.sum("n").alias("all"), F.max(F.when(F.col("kind").isNotNull(), F.struct("n", "docs", "kind"))).alias("best"))
-        accepted = materialise(judged.where((F.col("best.n") >= support) & (F.col("best.docs") >= support) & (F.col("best.n") >= confidence * F.col("all"))).select("pattern", F.col("best.kind").alias("as_kind")), "patterns")
-        discovered = values.where("kind IS NULL").join(accepted, "pattern").select("value", F.col("as_kind").alias("kind")).distinct()
-        known = materialise(known.unionByName(discovered).groupBy("value").agg(F.min("kind").alias("kind")), "known")
-    hits = occurrences.where("kind IS NULL").join(accepted, "pattern")
+def bootstrap(occurrences: DataFrame, rounds: int | None = None, support: int = 5, confidence: float = 0.8, row_col: str = "_row") -> DataFrame:
+    """Row, kind, start, stop of the occurrences of what accepted patterns discover, in rounds until no value is new
+    (or at most ``rounds``). Patterns and values once accepted stay, with their kinds."""
+    values = materialise(occurrences.where("pattern IS NOT NULL").groupBy("pattern", "value").agg(F.max("kind").alias("kind")), "graph")
+    known = materialise(occurrences.where("kind IS NOT NULL").groupBy("value").agg(F.min("kind").alias("kind")), "known")
+    accepted = discovered = None
+    done = 0
+    while rounds is None or done < rounds:
+        done += 1
+        graph = values.select("pattern", "value").join(known, "value", "left")
+        per_kind = graph.groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("n"))
+        judged = per_kind.groupBy("pattern").agg(F.sum("n").alias("all"), F.max(F.when(F.col("kind").isNotNull(), F.struct("n", "kind"))).alias("best"))
+        judged = judged.where((F.col("best.n") >= support) & (F.col("best.n") >= confidence * F.col("all"))).select("pattern", F.col("best.kind").alias("as_kind"))
+        judged = materialise(judged if accepted is None else judged.join(accepted.select("pattern"), "pattern", "left_anti"), "judged")
+        # Documents of the known values of the kind, each counted once.
+        confirmed = graph.join(judged, "pattern").where("kind = as_kind").select("pattern", "value", "as_kind")
+        seen = occurrences.select("pattern", "value", row_col).join(confirmed, ["pattern", "value"]).select("pattern", "as_kind", row_col).distinct()
+        fresh = materialise(seen.groupBy("pattern", "as_kind").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= support).select("pattern", "as_kind"), "patterns")
+        more = values.where("kind IS NULL").join(fresh, "pattern").join(known.select("value"), "value", "left_anti")
+        more = materialise(more.groupBy("value").agg(F.min("as_kind").alias("kind")), "values")
+        accepted = fresh if accepted is None else accepted.unionByName(fresh)
+        discovered = more if discovered is None else discovered.unionByName(more)
+        if more.isEmpty():
+            break
+        known = materialise(known.unionByName(more), "known")
+    open_ = occurrences.where("kind IS NULL")
+    columns = [row_col, "start", "stop", "as_kind"]
+    hits = open_.join(accepted, "pattern").select(*columns).unionByName(open_.join(discovered.withColumnRenamed("kind", "as_kind"), "value").select(*columns))
     return hits.groupBy(row_col, "start", "stop").agg(F.min("as_kind").alias("kind"))
 
 
@@ -137,7 +153,7 @@ def count_of(spans: str, kind: str) -> Column:
     return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long")
 
 
-def find_pii(docs: DataFrame, rounds: int = 2, support: int = 5, confidence: float = 0.8, text_col: str = "text", keep_text: bool = True) -> DataFrame:
+def find_pii(docs: DataFrame, rounds: int | None = None, support: int = 5, confidence: float = 0.8, text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """Adds ``base`` and ``spans``: array<struct<kind, start, stop>>, of base entities and of all, each in order.
 
     Without ``keep_text`` the text column is dropped.
@@ -147,7 +163,7 @@ def find_pii(docs: DataFrame, rounds: int = 2, support: int = 5, confidence: flo
     context = F.concat(*(_instances(_INNER[k], k, F.col(text_col)) for k in KINDS), _instances("_tokens", None, F.col(text_col)))
     found = found.withColumn("_all", context).drop("_tokens", *_INNER.values())
     found = materialise(found if keep_text else found.drop(text_col), "found")
-    occurrences = materialise(found.select("_row", F.explode("_all").alias("_x")).select("_row", "_x.kind", "_x.start", "_x.stop", "_x.value", F.explode("_x.patterns").alias("pattern")), "occurrences")
+    occurrences = materialise(found.select("_row", F.explode("_all").alias("_x")).select("_row", "_x.kind", "_x.start", "_x.stop", "_x.value", F.explode_outer("_x.patterns").alias("pattern")), "occurrences")
     more = bootstrap(occurrences, rounds, support, confidence).groupBy("_row").agg(F.collect_list(F.struct("kind", "start", "stop")).alias("_more"))  # of one document
     more = materialise(more, "discovered")  # so that its size is known before texts meet it
     base = F.transform(F.filter("_all", lambda x: x["kind"].isNotNull()), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["stop"].alias("stop")))

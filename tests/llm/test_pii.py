@@ -80,3 +80,17 @@ def test_columns_and_empty(spark):
     assert pii.find_pii(df.limit(0)).collect() == []
     digest = hashlib.sha256(b"").hexdigest()
     assert pii.find_pii(df.where("doc_id IS NULL")).select(F.sha2(pii.span_list(F.col("base")), 256)).collect()[0][0] == digest
+
+
+def test_rounds_go_on_until_nothing_is_new(spark):
+    """Values of one context lead to the next context, three times; then one stands under no context of its own."""
+    docs = [f"Tel: +1 (555) 200-{1000 + i}" for i in range(200)]
+    for w, after, k, n in [("Tel:", "Fon:", 0, 40), ("Fon:", "Mob:", 1, 10), ("Mob:", "Dial:", 2, 2)]:
+        docs += [f"{c} {k}55-{i}a" for i in range(n) for c in (w, after)]
+    docs += ["155-1a alone"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(docs)], "doc_id long, text string").repartition(3)
+    rows = {r.doc_id: r for r in pii.find_pii(df).collect()}
+    found = {docs[i][s.start : s.stop] for i, r in rows.items() for s in set(r.spans) - set(r.base)}
+    assert found == {f"{k}55-{i}a" for k, n in ((0, 40), (1, 10), (2, 2)) for i in range(n)}
+    last = rows[len(docs) - 1].spans
+    assert [(s.kind, s.start, s.stop) for s in last] == [("phone", 0, 6)]
