@@ -1,7 +1,8 @@
 """The shared folder: where tables that cut lineage, and the files of the binary formats, are written.
 
 A cluster names the folder in ``spark.checkpoint.dir``; executors and the driver all see it. Only where
-that setting is absent (tests, a laptop) is a folder of this process made, and removed at exit.
+that setting is absent and the master is local (tests, a laptop) is a folder of this process made, and removed at
+exit; a cluster without the setting is refused.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     global _own
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if _own is None:
             _own = tempfile.mkdtemp(prefix="spindrift-")
             atexit.register(shutil.rmtree, _own, ignore_errors=True)

@@ -13,11 +13,23 @@ from collections.abc import Iterable
 
 import numpy as np
 
-#: Latin letters, digits, punctuation: composed already, lower-cased letter by letter, white space as str.split has it.
-_PLAIN = re.compile("[\t-\r -~\x85\xa0-įı-ɏ‐-‧‰-⁞€]*")
+#: Ranges of Latin letters, digits and punctuation: composed already, lower-cased letter by letter, white space as
+#: str.split has it.
+_RANGES = ((0x09, 0x0D), (0x20, 0x7E), (0x85, 0x85), (0xA0, 0x12F), (0x131, 0x24F), (0x2010, 0x2027), (0x2030, 0x205E), (0x20AC, 0x20AC))
+
+
+def _in_ranges(c: str) -> bool:
+    return any(a <= ord(c) <= z for a, z in _RANGES)
+
+
+#: Characters of these ranges whose lower case lies in them too; others (U+0181 and the like) go to the library.
+_PLAIN = re.compile("[" + "".join(re.escape(c) for a, z in _RANGES for c in map(chr, range(a, z + 1)) if len(c.lower()) == 1 and _in_ranges(c.lower())) + "]*")
 #: The splits of that tokenizer within the plain range (the general rule is in its file).
 _SPLITS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ɏ]+|[0-9²³¹¼-¾]|[^\\s0-9a-zªµºß-öø-ɏ²³¹¼-¾]+")
-_CACHE_CHUNKS = 600_000
+#: Bytes that the cached chunks of one worker may take, by an upper estimate of each entry.
+_CACHE_BYTES = 48 << 20
+#: What an entry takes beside its chunk's letters and its ids: two objects' heads and a slot of the dictionary.
+_ENTRY_BYTES = 210
 
 
 def byte_letters() -> list[str]:
@@ -47,6 +59,7 @@ class ChunkEncoder:
         self.drops_space = self._drops_space()
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.cache: dict[str, bytes] = {}
+        self.held = 0
         self._model = self.library.model.tokenize
 
     def _drops_space(self) -> bool:
@@ -65,6 +78,22 @@ class ChunkEncoder:
         ids = [t.id for w in _SPLITS.findall(chunk) for t in tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(_LETTERS))]
         return np.array(ids, dtype="<u4").tobytes()
 
+    def _filled(self, chunks: list[str]) -> bytes:
+        """Ids of chunks of which some aren't cached. A cache that is full is emptied before the next one goes in."""
+        cache, out = self.cache, []
+        for c in chunks:
+            ids = cache.get(c)
+            if ids is None:
+                ids = self._by_model(c)
+                if len(c) <= 64:  # long ones hardly come again
+                    if self.held > _CACHE_BYTES:
+                        cache.clear()
+                        self.held = 0
+                    cache[c] = ids
+                    self.held += _ENTRY_BYTES + 2 * len(c) + len(ids)
+            out.append(ids)
+        return b"".join(out)
+
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         texts = ["" if t is None else t for t in texts]
         out: list[bytes] = [b""] * len(texts)
@@ -78,12 +107,7 @@ class ChunkEncoder:
             try:
                 out[i] = b"".join([cache[c] for c in chunks])
             except KeyError:
-                if len(cache) > _CACHE_CHUNKS:
-                    cache.clear()
-                for c in chunks:
-                    if c not in cache:
-                        cache[c] = self._by_model(c)
-                out[i] = b"".join([cache[c] for c in chunks])
+                out[i] = self._filled(chunks)
         for k in range(0, len(whole), 64):
             part = whole[k : k + 64]
             for i, ids in zip(part, self._by_library([texts[i] for i in part]), strict=True):

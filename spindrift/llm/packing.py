@@ -6,13 +6,17 @@ subset-sum over the lengths still available the fullest bin that holds it, and r
 often as the counts allow: thousands of equal bins cost one step. A plan is a list of intervals of ranks
 within a length; executors turn each piece's rank into its bin and offset.
 
-Defined cases: a null text is an empty one; an empty table gives an empty result; repeated rows and equal
+Texts are encoded, cut and ranked in one pass of one Python worker a core (:func:`pack_documents`); what is written
+from it holds no ids unless they are asked for.
+
+Defined cases: a null text is an empty one; a very long one is one row of ids while it is cut; an empty table gives an empty result; repeated rows and equal
 ids are packed as rows of their own; a length of null, under 1 or over the capacity is an error, as nothing
 holds it; columns named like the new ones are replaced by them; all other columns pass through.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -102,11 +106,18 @@ def best_fit_pack(pieces: DataFrame, length_col: str = "length", capacity: int =
     """Adds sequence_id and offset (long) to ``pieces``: no bin exceeds ``capacity``, offsets are gapless from 0."""
     pieces = pieces.drop("sequence_id", "offset", "_part", "_rank")
     length = F.col(length_col)
-    names = pieces.columns
     checked = pieces.withColumn(length_col, F.when(length.between(1, capacity), length).otherwise(F.raise_error(F.lit(f"{length_col} must be from 1 to {capacity}"))).cast("long"))
-    schema = T.StructType([*checked.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("_rank", T.LongType())])
-    ranked = materialise(checked.mapInArrow(lambda it: _ranked(it, length_col), schema), "pieces")
+    ranked = materialise(checked.mapInArrow(lambda it: _ranked(it, length_col), _with_rank(checked.schema)), "pieces")
+    return _placed(ranked, length_col, capacity)
+
+
+def _with_rank(schema: T.StructType) -> T.StructType:
+    return T.StructType([*schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("_rank", T.LongType())])
+
 
+def _placed(ranked: DataFrame, length_col: str, capacity: int) -> DataFrame:
+    """Bins and offsets of written rows with ``_part`` and ``_rank``."""
+    names, length = [c for c in ranked.columns if c not in ("_part", "_rank")], F.col(length_col)
     by_part = ranked.groupBy(length, "_part").agg(F.count(F.lit(1)).alias("_n"))
     bases = by_part.select(length.alias("_length"), F.col("_part").alias("_of"), (F.sum("_n").over(Window.partitionBy(length).orderBy("_part")) - F.col("_n")).alias("_base"))
     histogram = {r[0]: r[1] for r in ranked.groupBy(length).count().collect()}  # at most ``capacity`` rows
@@ -125,40 +136,55 @@ def best_fit_pack(pieces: DataFrame, length_col: str = "length", capacity: int =
             yield pa.RecordBatch.from_arrays([*cols, pa.array(bins), pa.array(offset)], [*names, "sequence_id", "offset"])
 
     placed = ranked.join(bases, (ranked[length_col] == bases["_length"]) & (ranked["_part"] == bases["_of"])).withColumn("_global", F.col("_rank") + F.col("_base"))
-    out = T.StructType([*checked.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    out = T.StructType([*(ranked.schema[c] for c in names), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     return placed.select(*names, "_global").mapInArrow(place, out)
 
 
+def _cut(batches: Iterator[pa.RecordBatch], tokenizer_path: str, end_id: int, capacity: int, digests: bool) -> Iterator[pa.RecordBatch]:
+    """Pieces of batches of (id, text); their ids, or only the unsigned CRC-32 of these."""
+    from spindrift.llm._tokens import encoder
+
+    encode, end, step = encoder(tokenizer_path), np.uint32(end_id).astype("<u4").tobytes(), 4 * capacity
+    for b in batches:
+        for k in range(0, b.num_rows, 256):
+            part = b.slice(k, 256)
+            row, piece, start, length, last = [], [], [], [], []
+            for i, packed in enumerate(encode.encode(part.column(1).to_pylist())):
+                whole = packed + end
+                for j, at in enumerate(range(0, len(whole), step)):
+                    ids = whole[at : at + step]
+                    row.append(i)
+                    piece.append(j)
+                    start.append(j * capacity)
+                    length.append(len(ids) // 4)
+                    last.append(zlib.crc32(ids) if digests else ids)
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(last, pa.int64() if digests else pa.binary())],
+                [b.schema.names[0], "piece", "start", "length", "ids_crc32" if digests else "ids"],
+            )
+
+
+def _piece_schema(docs: DataFrame, id_col: str, digests: bool) -> T.StructType:
+    last = T.StructField("ids_crc32", T.LongType()) if digests else T.StructField("ids", T.BinaryType())
+    return T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), last])
+
+
 def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every text's ids, ``end_id`` appended, cut into pieces of at most ``capacity``.
 
     Columns: the id, piece (int, from 0), start and length (long), ids (binary, little-endian unsigned 32-bit).
     """
+    return docs.select(id_col, text_col).mapInArrow(lambda it: _cut(it, tokenizer_path, end_id, capacity, False), _piece_schema(docs, id_col, False))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from spindrift.llm._tokens import encoder
 
-        encode, end, step = encoder(tokenizer_path), np.uint32(end_id).astype("<u4").tobytes(), 4 * capacity
-        for b in batches:
-            for k in range(0, b.num_rows, 512):
-                part = b.slice(k, 512)
-                row, piece, start, ids = [], [], [], []
-                for i, packed in enumerate(encode.encode(part.column(1).to_pylist())):
-                    whole = packed + end
-                    for j, at in enumerate(range(0, len(whole), step)):
-                        row.append(i)
-                        piece.append(j)
-                        start.append(j * capacity)
-                        ids.append(whole[at : at + step])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
-                    [id_col, "piece", "start", "length", "ids"],
-                )
-
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids", T.BinaryType())])
-    return docs.select(id_col, text_col).mapInArrow(cut, schema)
-
-
-def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pieces of every document with their places; ids stay with them (drop them before, if only places are needed)."""
-    return best_fit_pack(token_pieces(docs, tokenizer_path, end_id, capacity, id_col, text_col), "length", capacity)
+def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
+    """Pieces of every document with their places: the columns of :func:`token_pieces`, sequence_id and offset.
+
+    With ``digests``, the unsigned CRC-32 of each piece's ids (ids_crc32, long) stands for the ids.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _ranked(_cut(batches, tokenizer_path, end_id, capacity, digests), "length")
+
+    ranked = docs.select(id_col, text_col).mapInArrow(run, _with_rank(_piece_schema(docs, id_col, digests)))
+    return _placed(materialise(ranked, "pieces"), "length", capacity)

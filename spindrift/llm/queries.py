@@ -20,9 +20,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.token_pieces(_table(spark, sf_dir, "documents"), WORD_BPE, end_id=1, capacity=4096)
-    digests = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    return packing.best_fit_pack(digests, "length", 4096)
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), WORD_BPE, end_id=1, capacity=4096, digests=True)
 
 
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,6 +24,40 @@ def test_chunk_encoder_equals_library(library):
     assert got == [library.encode(t or "", add_special_tokens=False).ids for t in TEXTS]
 
 
+def test_every_code_point_of_the_plain_ranges(library):
+    texts = [t for c in map(chr, range(0x2100)) for t in (f"a{c}b", f"{c} x{c}{c}'{c}s")]
+    got = [np.frombuffer(x, "<u4").tolist() for x in encoder(PATH).encode(texts)]
+    assert got == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_the_cache_keeps_its_bound(library, monkeypatch):
+    from spindrift.llm import _tokens
+
+    monkeypatch.setattr(_tokens, "_CACHE_BYTES", 50_000)
+    own = _tokens.ChunkEncoder(PATH)
+    texts = [" ".join(f"word{k}x{k % 7}" for k in range(i, i + 300)) for i in range(0, 6000, 100)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert own.held <= 51_000 and len(own.cache) < 300
+
+
+def test_digests_stand_for_ids(spark, library):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
+    rows = packing.pack_documents(docs, PATH, end_id=1, capacity=64, digests=True).collect()
+    for r in rows:
+        ids = [*library.encode(TEXTS[r.doc_id] or "", add_special_tokens=False).ids, 1][r.start : r.start + r.length]
+        assert r.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    from types import SimpleNamespace
+
+    from spindrift.llm import _store
+
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: None), sparkContext=SimpleNamespace(master="spark://host:7077", applicationId="a"))
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        _store.shared_dir(session)
+
+
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 50), max_size=20))
 @settings(max_examples=60, deadline=None)
 def test_plan_places_every_rank_once_without_gaps(histogram):
