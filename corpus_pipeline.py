@@ -64,8 +64,7 @@ def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @_stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's pieces and their places in sequences of at most 4096 tokens."""
-    pieces = packing.token_pieces(docs, TOKENIZER, end_id=1, capacity=4096)
-    return packing.best_fit_pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "length", 4096)
+    return packing.pack_documents(docs, TOKENIZER, end_id=1, capacity=4096, digests=True)
 
 
 STAGES = [("toxicity", drop_toxic), ("simhash_near_dedup", drop_near_copies), ("pii", redact_pii), ("best_fit_packing", pack)]
