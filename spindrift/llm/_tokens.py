@@ -27,7 +27,7 @@ _PLAIN = re.compile("[" + "".join(re.escape(c) for a, z in _RANGES for c in map(
 #: The splits of that tokenizer within the plain range (the general rule is in its file).
 _SPLITS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ɏ]+|[0-9²³¹¼-¾]|[^\\s0-9a-zªµºß-öø-ɏ²³¹¼-¾]+")
 #: Bytes that the cached chunks of one worker may take, by an upper estimate of each entry.
-_CACHE_BYTES = 48 << 20
+_CACHE_BYTES = 120 << 20
 #: What an entry takes beside its chunk's letters and its ids: two objects' heads and a slot of the dictionary.
 _ENTRY_BYTES = 210
 

@@ -1,26 +1,24 @@
 """Language-model scores: prediction by partial matching (PPM) over bytes, and a smoothed unigram base.
 
-Texts are lower-cased (A-Z) and cut at ASCII white space; a token is a word's bytes and a space, and the end of a
-text is a symbol of its own where a word would begin. The model is a trie of byte contexts of up to ``ORDER`` bytes
-within a token: counts of what followed each context in the training tokens. A symbol is coded from the longest
-context seen; a context that lacks it escapes to the next shorter one with the probability of method C (as many
-escapes as distinct symbols), and symbols that the longer context holds are excluded there. For ``score``, contexts
-don't cross tokens: it is the sum of the tokens' log probabilities, each computed once a block, whatever their order.
-``text_score`` is the same method over the text as it runs (its words, each with a space, then the end): contexts of
-``ORDER`` bytes go on from word to word, and every position is coded in its own context.
-
-Plan: one pass over the texts numbers the words of each block of texts, and writes the texts as word numbers and
-the blocks' words with counts. Counts are summed by word; the trie's counts are summed from the words, per node
-and symbol. The trie goes to the executors as sorted arrays if it has at most ``trie_rows`` edges, checked
-before it is gathered; a larger one stays a table, and each context of a word's symbols is looked up by joins,
-with equal results. Words' counts and log probabilities then go back to their blocks, which meet their texts there.
-For ``text_score`` a pass before that counts contexts and symbols of the training positions, summed within a task
-before they are shuffled; texts are scored by chunks of ``_CHUNK_BYTES``, each distinct context and symbol of a chunk
-once. A trie too large for the executors is joined to the chunks' distinct contexts and symbols.
+Texts are lower-cased (A-Z) and cut at ASCII white space; a text is coded as its words, each with a space after it,
+and then the end, a symbol of its own. The model is a trie of byte contexts of up to ``ORDER`` bytes, which run over
+the whole text from word to word: counts of what followed each context in the training texts. A symbol is coded from
+the longest context seen; a context that lacks it escapes to the next shorter one, and symbols that the longer context
+holds are excluded there. Escapes are estimated by method D: of a context whose symbols (those not excluded) were seen
+n times and are k distinct ones, an escape has k / 2n and a symbol seen c times (2c - 1) / 2n. ``score`` is the sum
+of the base-10 logarithms over all positions of a text.
+
+Plan: one pass counts contexts and symbols of the training texts' positions, summed within a task before they are
+shuffled. The trie goes to the executors as sorted arrays if it has at most ``trie_rows`` edges, checked before it
+is gathered; a larger one stays a table, and the distinct contexts and symbols of each chunk of texts are looked up
+by joins, with equal results. The pass that scores the texts also numbers the words of each block of texts, and writes
+the texts as word numbers and the blocks' words with counts. Counts are summed by word, go back to their blocks, and
+meet their texts there: one block a task.
 
 Defined cases: a null text is an empty one, which is an end alone; a null id is the text of no digits for the
 fold; without any training row the base is that of counts of zero, and symbols are equally likely; an empty
-table gives an empty result; other columns are ignored.
+table gives an empty result; repeated rows are rows of their own and count each time; a very long text is one
+chunk, whose positions one task holds; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,7 +38,7 @@ from spindrift.llm._store import materialise
 ORDER, SYMBOLS = 5, 257
 #: Symbols are written in 9 bits as 1 to 257, 0 being none: a context and a symbol fit 54 bits.
 _BITS = 9
-_SPACE, _END = 0x20 + 1, 257
+_END = 257
 _BLOCK_BYTES = 24 << 20
 #: Bytes of text whose positions are held at a time, and distinct contexts that a task sums before it passes them on.
 _CHUNK_BYTES, _HELD_GRAMS = 2 << 20, 1_000_000
@@ -50,24 +48,9 @@ _TRIE_ROWS = 4_000_000
 # ------------------------------------------------------------------ symbols
 
 
-def positions(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """For all symbols of the words: context and symbol as one number (the longest context), and the word's place.
-    The empty word stands for the end of a text."""
-    lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
-    flat = np.frombuffer(b" ".join(words) + b" ", dtype=np.uint8).astype(np.int64) + 1
-    ends = np.cumsum(lengths)
-    flat[(ends - 1)[lengths == 1]] = _END
-    place = np.repeat(np.arange(len(words)), lengths)
-    at = np.arange(len(flat)) - np.repeat(ends - lengths, lengths)
-    full = flat.copy()
-    for k in range(1, ORDER + 1):  # the symbol k before: a letter of the word, the space before it, or none
-        before = np.where(at >= k, np.concatenate([np.zeros(k, np.int64), flat[:-k]])[: len(flat)], np.where(at == k - 1, _SPACE, 0))
-        full |= before << _BITS * k
-    return full, place
-
-
-def text_positions(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The same for whole texts: contexts run over their words, and the place is the text's."""
+def positions(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """For all symbols of the texts: context and symbol as one number (the longest context), and the text's place.
+    The first word has a space before it."""
     pad = b"\x00" * (ORDER - 1) + b" "
     runs = [pad + b"".join([w + b" " for w in t.split()]) + b" " for t in texts]
     lengths = np.fromiter(map(len, runs), dtype=np.int64, count=len(runs))
@@ -141,8 +124,8 @@ class Trie:
             edge[edge == len(edges)] = 0
             hit = edges[edge] == key
             open_ = kinds > 0
-            whole = np.where(open_, mass + kinds, 1)
-            out[own[hit]] += np.log10(self.edge_counts[order][edge[hit]] / whole[hit])
+            whole = np.where(open_, 2 * mass, 1)
+            out[own[hit]] += np.log10((2 * self.edge_counts[order][edge[hit]] - 1) / whole[hit])
             escape = ~hit & open_
             out[own[escape]] += np.log10(kinds[escape] / whole[escape])
             excluded[own], excluded_kinds[own] = self.above[order][node], self.kinds[order][node]
@@ -154,14 +137,8 @@ class Trie:
         return out
 
 
-def word_scores(trie: Trie, words: list[bytes]) -> np.ndarray:
-    full, place = positions(words)
-    distinct, inverse = np.unique(full, return_inverse=True)
-    return np.bincount(place, trie.log10(distinct)[inverse], len(words))
-
-
-def text_scores(trie: Trie, texts: list[bytes]) -> np.ndarray:
-    full, place = text_positions(texts)
+def scores(trie: Trie, texts: list[bytes]) -> np.ndarray:
+    full, place = positions(texts)
     distinct, inverse = _distinct(full)
     order = np.argsort(distinct)  # look-ups in order stay near one another
     logp = np.empty(len(distinct))
@@ -178,7 +155,7 @@ def _distinct(full: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 # ------------------------------------------------------------------ Spark
 
 
-_PASS = T.StructType([T.StructField("block", T.LongType()), T.StructField("word", T.BinaryType()), T.StructField("number", T.IntegerType()), T.StructField("count", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("held_out", T.BooleanType()), T.StructField("low", T.BinaryType()), T.StructField("high", T.BinaryType()), T.StructField("text_score", T.DoubleType())])
+_PASS = T.StructType([T.StructField("block", T.LongType()), T.StructField("word", T.BinaryType()), T.StructField("number", T.IntegerType()), T.StructField("count", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("held_out", T.BooleanType()), T.StructField("low", T.BinaryType()), T.StructField("high", T.BinaryType()), T.StructField("score", T.DoubleType())])
 
 
 def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +165,7 @@ def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     from pyspark import TaskContext
 
-    schema = pa.schema([("block", pa.int64()), ("word", pa.binary()), ("number", pa.int32()), ("count", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("low", pa.binary()), ("high", pa.binary()), ("text_score", pa.float64())])
+    schema = pa.schema([("block", pa.int64()), ("word", pa.binary()), ("number", pa.int32()), ("count", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("low", pa.binary()), ("high", pa.binary()), ("score", pa.float64())])
     block = TaskContext.get().partitionId() << 24
 
     def flush(number: dict[bytes, int], texts: list[np.ndarray], ids: list, held: list, whole: list) -> Iterator[pa.RecordBatch]:
@@ -234,15 +211,6 @@ def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush(number, texts, ids, held, whole)
 
 
-def _trie_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of longest contexts with symbols, from words and their counts."""
-    for b in batches:
-        full, place = positions(b.column(0).to_pylist())
-        counts = b.column(1).to_numpy(zero_copy_only=False)[place]
-        distinct, inverse = np.unique(full, return_inverse=True)
-        yield pa.RecordBatch.from_arrays([pa.array(distinct), pa.array(np.bincount(inverse, counts, len(distinct)).astype(np.int64))], ["full", "c"])
-
-
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of (doc_id, text, held_out) of at most ``_CHUNK_BYTES`` of text, or one text, with the texts' bytes."""
     for b in batches:
@@ -274,7 +242,7 @@ def _text_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, texts in _chunks(batches):
         own = [t for t, out in zip(texts, part.column(2).to_pylist(), strict=True) if not out]
         if own:
-            distinct, inverse = _distinct(text_positions(own)[0])
+            distinct, inverse = _distinct(positions(own)[0])
             grams.append(distinct)
             counts.append(np.bincount(inverse, minlength=len(distinct)))
         if sum(map(len, grams)) > _HELD_GRAMS:
@@ -304,7 +272,7 @@ def _texts_by_arrays(docs: DataFrame, edges: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def scored() -> Iterator[pa.RecordBatch]:
             for b, texts in _chunks(batches):
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text_scores(_trie_of(arrays), texts))], [*b.schema.names, "text_score"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores(_trie_of(arrays), texts))], [*b.schema.names, "score"])
 
         return _number(scored())
 
@@ -327,7 +295,7 @@ def _texts_by_joins(docs: DataFrame, edges: DataFrame) -> DataFrame:
             cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(chunk)]
             for first, last in zip(cuts, cuts[1:], strict=False):
                 for _, texts in _chunks([b.slice(first, last - first).select(["doc_id", "text", "held_out"])]):
-                    own, _ = _distinct(text_positions(texts)[0])
+                    own, _ = _distinct(positions(texts)[0])
                     for k in range(0, len(own), 200_000):
                         part = own[k : k + 200_000]
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), chunk[first])), pa.array(part)], ["of_chunk", "full"])
@@ -335,49 +303,23 @@ def _texts_by_joins(docs: DataFrame, edges: DataFrame) -> DataFrame:
     def deliver(key, texts: pa.Table, scored: pa.Table) -> pa.Table:
         order = np.argsort(scored.column("full").to_numpy())
         full, logp = scored.column("full").to_numpy()[order], scored.column("logp").to_numpy()[order]
-        own, place = text_positions([(t or "").encode().lower() for t in texts.column("text").to_pylist()])
+        own, place = positions([(t or "").encode().lower() for t in texts.column("text").to_pylist()])
         distinct, inverse = _distinct(own)
         score = np.bincount(place, logp[np.searchsorted(full, distinct)][inverse], texts.num_rows)
-        return texts.drop_columns("chunk").append_column("text_score", pa.array(score))
+        return texts.drop_columns("chunk").append_column("score", pa.array(score))
 
     kept = materialise(docs.mapInArrow(number, "chunk long, doc_id long, text string, held_out boolean"), "chunks")
     grams = materialise(kept.mapInArrow(symbols, "of_chunk long, full long"), "grams")
     scored = grams.join(_logp_by_joins(grams.select("full").distinct(), edges), "full")
-    return kept.groupBy("chunk").cogroup(scored.groupBy("of_chunk")).applyInArrow(deliver, "doc_id long, text string, held_out boolean, text_score double").mapInArrow(_number, _PASS)
-
-
-def _scored_by_arrays(words: DataFrame, edges: DataFrame) -> DataFrame:
-    got = edges.toArrow()
-    spark = words.sparkSession
-    arrays = spark.sparkContext.broadcast((got.column("full").to_numpy(), got.column("c").to_numpy().astype(float)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = None
-        for b in batches:
-            trie = trie or Trie(*arrays.value)
-            for k in range(0, b.num_rows, 100_000):
-                part = b.slice(k, 100_000)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(word_scores(trie, part.column(0).to_pylist()))], ["word", "c", "score"])
-
-    return words.mapInArrow(run, "word binary, c long, score double")
-
-
-def _scored_by_joins(words: DataFrame, edges: DataFrame) -> DataFrame:
-    """The same without gathering the trie: nodes and edges of each order are tables, symbols are rows."""
-
-    def symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(0, b.num_rows, 20_000):
-                part = b.slice(k, 20_000)
-                full, place = positions(part.column(0).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(place)), pa.array(full)], ["word", "full"])
-
-    rows = materialise(words.select("word").mapInArrow(symbols, "word binary, full long"), "symbols")
-    return words.join(rows.join(_logp_by_joins(rows.select("full").distinct(), edges), "full").groupBy("word").agg(F.sum("logp").alias("score")), "word")
+    n = max(1, kept.select("chunk").distinct().count())  # a chunk or two a task, however many there are
+    met = kept.repartition(n, "chunk").groupBy("chunk").cogroup(scored.repartition(n, "of_chunk").groupBy("of_chunk"))
+    return met.applyInArrow(deliver, "doc_id long, text string, held_out boolean, score double").mapInArrow(_number, _PASS)
 
 
 def _logp_by_joins(grams: DataFrame, edges: DataFrame) -> DataFrame:
-    """full and logp of distinct contexts with symbols."""
+    """full and logp of distinct contexts with symbols. At each order only those not yet coded are looked up, by node and
+    by edge. There are at most 257 nodes of order 1 and 257 x 257 edges, whatever the corpus: below order 2 these tables
+    are broadcast, so no few keys gather all rows."""
 
     def cut(c: F.Column, order: int) -> F.Column:
         return c.bitwiseAND(F.lit((1 << _BITS * (order + 1)) - 1))
@@ -385,57 +327,63 @@ def _logp_by_joins(grams: DataFrame, edges: DataFrame) -> DataFrame:
     def length(c: F.Column) -> F.Column:
         return sum((F.shiftright(c, _BITS * k) > 0).cast("int") for k in range(1, ORDER + 1))
 
-    state = grams.withColumns({"logp": F.lit(0.0), "x": F.lit(0.0), "xk": F.lit(0.0), "done": F.lit(False)})
+    todo = grams.withColumns({"logp": F.lit(0.0), "x": F.lit(0.0), "xk": F.lit(0.0)})
+    coded = []
     by_order = [materialise(edges.where(length(F.col("full")) >= k).groupBy(cut(F.col("full"), k).alias("e")).agg(F.sum("c").cast("double").alias("ec")), "edges") for k in range(ORDER + 1)]
     for k in range(ORDER, -1, -1):
+        bounded = F.broadcast if k < 2 else (lambda df: df)
         own = by_order[k].withColumn("node", F.shiftright("e", _BITS))
         if k:
             parent = by_order[k - 1].select(F.col("e").alias("pe"), F.col("ec").alias("pc"))
-            own = own.withColumn("pe", cut(F.col("e"), k - 1)).join(parent, "pe")
+            own = own.withColumn("pe", cut(F.col("e"), k - 1)).join(bounded(parent), "pe")
         else:
             own = own.withColumn("pc", F.lit(0.0))
         nodes = materialise(own.groupBy("node").agg(F.sum("ec").alias("nt"), F.count(F.lit(1)).cast("double").alias("nk"), F.sum("pc").alias("na")), "nodes")
-        key = cut(F.col("full"), k)
-        met = state.withColumn("e", F.when(~F.col("done") & (length(F.col("full")) >= k), key)).withColumn("node", F.shiftright("e", _BITS))
-        met = met.join(nodes, "node", "left").join(by_order[k], "e", "left")
+        reaches = length(F.col("full")) >= k
+        met = todo.where(reaches).withColumn("e", cut(F.col("full"), k)).withColumn("node", F.shiftright("e", _BITS))
+        met = met.join(bounded(nodes), "node", "left").join(bounded(by_order[k]), "e", "left")
         kinds, seen, hit = F.col("nk") - F.col("xk"), F.col("nt").isNotNull(), F.col("ec").isNotNull()
-        whole = F.col("nt") - F.col("x") + kinds
-        step = F.when(hit, F.log10(F.col("ec") / whole)).when(seen & (kinds > 0), F.log10(kinds / whole)).otherwise(0.0)
-        state = materialise(met.select("full", (F.col("logp") + step).alias("logp"), F.coalesce("na", "x").alias("x"), F.coalesce("nk", "xk").alias("xk"), (F.col("done") | hit).alias("done")), "state")
+        whole = 2 * (F.col("nt") - F.col("x"))
+        step = F.when(hit, F.log10((2 * F.col("ec") - 1) / whole)).when(seen & (kinds > 0), F.log10(kinds / whole)).otherwise(0.0)
+        state = materialise(met.select("full", (F.col("logp") + step).alias("logp"), F.coalesce("na", "x").alias("x"), F.coalesce("nk", "xk").alias("xk"), hit.alias("done")), "state")
+        coded.append(state.where("done").select("full", "logp"))
+        todo = state.where("NOT done").drop("done").unionByName(todo.where(~reaches))
     root = by_order[0].agg((F.lit(SYMBOLS) - F.count(F.lit(1))).alias("rest"))
-    return state.join(F.broadcast(root)).select("full", (F.col("logp") - F.when(F.col("done"), 0.0).otherwise(F.log10("rest"))).alias("logp"))
+    last = todo.crossJoin(F.broadcast(root)).select("full", (F.col("logp") - F.log10("rest")).alias("logp"))  # one row
+    for c in coded:
+        last = last.unionByName(c)
+    return last
 
 
 def _deliver(key, texts: pa.Table, words: pa.Table) -> pa.Table:
-    """Sums over a block's texts; its words come with their counts and scores."""
+    """Sums over a block's texts; its words come with their counts."""
     at = words.column("number").to_numpy()
-    known, base, score = (np.empty(len(at)) for _ in range(3))
-    known[at], base[at], score[at] = words.column("known").to_numpy(), words.column("base").to_numpy(), words.column("score").to_numpy()
-    n, k, b, s = (np.zeros(texts.num_rows) for _ in range(4))
+    known, base = (np.empty(len(at)) for _ in range(2))
+    known[at], base[at] = words.column("known").to_numpy(), words.column("base").to_numpy()
+    n, k, b = (np.zeros(texts.num_rows) for _ in range(3))
     for i, (low, high) in enumerate(zip(texts.column("low").to_pylist(), texts.column("high").to_pylist(), strict=True)):
         ids = np.concatenate([np.frombuffer(low, "<u2"), np.frombuffer(high, "<u4")]).astype(np.int64)
-        n[i], k[i], b[i], s[i] = len(ids), known[ids].sum(), base[ids].sum(), score[ids].sum()
-    return pa.table({"doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), "n_tokens": n.astype(np.int64), "n_known": k.astype(np.int64), "base_score": b, "score": s, "text_score": texts.column("text_score")})
+        n[i], k[i], b[i] = len(ids), known[ids].sum(), base[ids].sum()
+    return pa.table({"doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), "n_tokens": n.astype(np.int64), "n_known": k.astype(np.int64), "base_score": b, "score": texts.column("score")})
 
 
 def lm_scores(docs: DataFrame, folds: int = 7, held: int = 2, trie_rows: int = _TRIE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and text_score of every text.
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every text.
 
     Rows whose id's CRC-32 modulo ``folds`` is ``held`` are scored but never counted.
     """
     out = F.coalesce(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds == held, F.lit(False))
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), out.alias("held_out"))
-    grams = materialise(docs.mapInArrow(_text_counts, "full long, c long").groupBy("full").agg(F.sum("c").alias("c")), "text_trie")
-    numbered = materialise(_texts_by_arrays(docs, grams) if grams.count() <= trie_rows else _texts_by_joins(docs, grams), "numbered")
+    edges = materialise(docs.mapInArrow(_text_counts, "full long, c long").groupBy("full").agg(F.sum("c").alias("c")), "trie")
+    numbered = materialise(_texts_by_arrays(docs, edges) if edges.count() <= trie_rows else _texts_by_joins(docs, edges), "numbered")
     in_blocks = numbered.where("word IS NOT NULL").select(F.col("block").alias("of_block"), "word", "number", "count")
     words = materialise(in_blocks.groupBy("word").agg(F.sum("count").alias("c")), "words")
     sizes = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
     n, v = sizes["n"], sizes["v"]
-    edges = materialise(words.where("c > 0").mapInArrow(_trie_counts, "full long, c long").groupBy("full").agg(F.sum("c").alias("c")), "trie")
-    small = edges.count() <= trie_rows
-    scored = materialise(_scored_by_arrays(words, edges) if small else _scored_by_joins(words, edges), "scored")
+    blocks = max(1, in_blocks.where("number = 0").count())  # every block has the end as its word 0
     base = F.log10((F.col("c") + 1) / F.lit(float(n + v + 1)))
-    found = in_blocks.select("of_block", "word", "number").join(scored, "word").select("of_block", "number", (F.col("c") > 0).cast("int").alias("known"), base.alias("base"), "score")
-    texts = numbered.where("low IS NOT NULL").select("block", "doc_id", "held_out", "low", "high", "text_score")
-    result = texts.groupBy("block").cogroup(found.groupBy("of_block")).applyInArrow(_deliver, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, text_score double")
-    return result.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score", "text_score")
+    found = in_blocks.select("of_block", "word", "number").join(words, "word").select("of_block", "number", (F.col("c") > 0).cast("int").alias("known"), base.alias("base"))
+    texts = numbered.where("low IS NOT NULL").select("block", "doc_id", "held_out", "low", "high", "score")
+    met = texts.repartition(blocks, "block").groupBy("block").cogroup(found.repartition(blocks, "of_block").groupBy("of_block"))
+    result = met.applyInArrow(_deliver, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return result.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
