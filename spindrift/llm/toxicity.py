@@ -1,18 +1,21 @@
 """Toxicity by weak supervision.
 
 Voters come from labelled training rows: words, and patterns of word beginnings, that stand in toxic texts far
-more often than in others (lexicon and pattern voters), beside voters on style. A generative label model, a
-mixture of two classes fitted by expectation maximisation to the votes alone, estimates how often each voter
-fires on toxic and on other texts; correlations of voters within the classes lower the weights of those that
-repeat each other. Its posterior labels train a linear classifier over votes and counts of voters, and that
-scores every text.
+more often than in others (lexicon and pattern voters), beside voters on style. A generative label model of the votes
+alone, fitted by expectation maximisation, has two classes, and within each class a forest of dependencies: a voter's
+chance to fire depends on the class and on whether one other voter, its parent, fires. It begins with the rates found
+while mining, which stay a part of its estimates (``ANCHOR``); rates, accuracies and the
+correlations that make the forest (the conditional mutual information of every two voters, where it is beyond chance)
+are estimated anew in each round, so voters that repeat each other don't count twice. Its posterior labels train a
+linear classifier over votes and counts of voters, and that scores every text.
 
 All fitting is on a bounded sample (``sample`` rows, those with the smallest hashes of their ids); scoring reads
 every whole text once, with a model of at most ``voters`` voters.
 
 Defined cases: a null text is an empty one, and an empty text has a score too; null labels don't count; an id
-with several labels is toxic if one says so; null ids are never training rows; without any toxic training row
-all scores are the smoothed share of toxic rows; an empty table gives an empty result; other columns pass through.
+with several labels, and a text that stands under several ids, is toxic if one label says so; null ids are never
+training rows; without any toxic training row all scores are the smoothed share of toxic rows; an empty table gives an
+empty result; a very long text is read whole, one at a time; repeated rows are scored each; other columns pass through.
 """
 
 from __future__ import annotations
@@ -27,12 +30,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spindrift.llm._store import materialise
+
 #: Labelled rows that voters and models are fitted on, and voters, at most.
 SAMPLE, VOTERS = 20_000, 128
 #: Lengths of word beginnings that patterns are made of.
 BEGINNINGS = (4, 5, 6)
 _WORD = re.compile(r"[^\W\d_]+")
 _STYLE = 3
+#: Rows that the rates found while mining stand for in the label model: they keep its classes those of the labels.
+ANCHOR = 200.0
 
 
 def units(text: str | None) -> set[str]:
@@ -56,9 +63,7 @@ def style(text: str | None) -> list[float]:
 class Model:
     names: tuple[str, ...]
     weights: np.ndarray  # voters, style, log of the number of voters that fire, intercept
-    fires_toxic: np.ndarray  # the label model's rates
-    fires_other: np.ndarray
-    trust: np.ndarray  # weights from correlations
+    labels: LabelModel | None  # none without voters
     prior: float
 
     def rows(self, found: list[set[str]], styles: np.ndarray) -> np.ndarray:
@@ -78,28 +83,104 @@ def features(votes: np.ndarray, styles: np.ndarray) -> np.ndarray:
     return np.hstack([votes, styles, np.log1p(votes.sum(axis=1))[:, None], np.ones((len(votes), 1))])
 
 
-def label_model(votes: np.ndarray, start: np.ndarray, prior: float, rounds: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior of toxic for each row, rates of firing on toxic and other rows, and the voters' trust.
+def _rates(votes: np.ndarray, weight: np.ndarray, mined: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Weighted shares of rows in which each voter, and each two voters, fire, and the weight of all rows. The shares of
+    single voters count ``ANCHOR`` rows of the mined rates beside the sample's."""
+    n = weight.sum()
+    both = votes.T @ (votes * weight[:, None])
+    return (np.diag(both) + ANCHOR * mined) / (n + ANCHOR), both / max(n, 1e-9), n
+
+
+def mutual_information(one: np.ndarray, both: np.ndarray) -> np.ndarray:
+    """Of every two binary voters within a class, from their shares and joint shares."""
+    out = np.zeros_like(both)
+    for mine, other, joint in (
+        (one[:, None], one[None, :], both),
+        (one[:, None], 1 - one[None, :], one[:, None] - both),
+        (1 - one[:, None], one[None, :], one[None, :] - both),
+        (1 - one[:, None], 1 - one[None, :], 1 - one[:, None] - one[None, :] + both),
+    ):
+        joint = np.maximum(joint, 0)
+        out += np.where(joint > 0, joint * np.log(np.maximum(joint, 1e-300) / np.maximum(mine * other, 1e-300)), 0)
+    return out
+
+
+def forest(strength: np.ndarray, least: np.ndarray | float) -> np.ndarray:
+    """Parent of each voter (-1: none) in the heaviest forest whose edges are all above ``least``; ties go to the smaller
+    voter. Prim's method, a new tree wherever no edge leaves the last."""
+    n = len(strength)
+    parent, inside = np.full(n, -1), np.zeros(n, dtype=bool)
+    best, via = np.full(n, -np.inf), np.full(n, -1)
+    usable = np.where(strength > least, strength, -np.inf)
+    for _ in range(n):
+        open_ = np.where(inside, -np.inf, best)
+        j = int(open_.argmax()) if np.isfinite(open_.max()) else int(np.flatnonzero(~inside)[0])
+        parent[j] = via[j] if np.isfinite(best[j]) else -1
+        inside[j] = True
+        closer = ~inside & (usable[j] > best)
+        best[closer], via[closer] = usable[j][closer], j
+    return parent
+
+
+@dataclass(frozen=True)
+class LabelModel:
+    """Two classes of votes. ``fires[y, j, b]``: the chance that voter j fires in class y (1: toxic) when its parent
+    fires (b = 1) or doesn't, and without a parent in both cases the voter's rate in the class. A voter that doesn't
+    fire abstains: toxic texts of one kind say nothing about the words of another. That none fires is a vote of its own
+    (``silent[y]``)."""
 
-    ``start``: a first guess of the posterior. The prior stays as it is, which keeps the classes apart. A voter
-    that doesn't fire abstains; whether any fires is a vote of its own.
-    """
-    posterior = start.astype(float)
-    trust = np.ones(votes.shape[1])
-    silent = votes.sum(axis=1) == 0
-    toxic = other = np.full(votes.shape[1], 0.5)
+    prior: float
+    parent: np.ndarray
+    fires: np.ndarray
+    silent: np.ndarray
+    rates: np.ndarray  # (class, voter), whatever the parent does
+
+    def log_odds(self, votes: np.ndarray) -> np.ndarray:
+        """Of toxic against other, for rows of votes."""
+        odds = np.log(self.fires[1]) - np.log(self.fires[0])
+        above = np.where(self.parent[None, :] >= 0, votes[:, self.parent], 0)
+        heard = np.log1p(-self.silent[1]) - np.log1p(-self.silent[0])
+        whole = np.where(votes.any(axis=1), heard, np.log(self.silent[1]) - np.log(self.silent[0]))
+        return np.log(self.prior / (1 - self.prior)) + whole + (votes * np.where(above > 0, odds[:, 1], odds[:, 0])).sum(axis=1)
+
+    def posterior(self, votes: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.log_odds(votes), -30, 30)))
+
+
+#: Twice the sample size times the mutual information has a chi-squared law of two degrees of freedom (one a class) if
+#: voters are independent within classes; this bound is passed by chance once in 3 million pairs.
+_DEPENDENT = 30.0
+
+
+def label_model(votes: np.ndarray, mined: np.ndarray, prior: float, rounds: int = 40) -> LabelModel:
+    """Fit to votes by expectation maximisation, from (class, voter) rates known before. The share of toxic rows stays
+    as it is."""
+    n = votes.shape[1]
+    mined = np.clip(mined, 1e-4, 1 - 1e-4)
+    model = LabelModel(prior, np.full(n, -1), np.repeat(mined[:, :, None], 2, axis=2), np.array([0.5, 0.5]), mined)
+    quiet = ~votes.any(axis=1)
+    posterior = model.posterior(votes)
     for r in range(rounds):
-        n_toxic, n_other = posterior.sum() + 1, (1 - posterior).sum() + 1
-        toxic, other = (posterior @ votes + 0.05) / n_toxic, ((1 - posterior) @ votes + 0.01) / n_other
-        quiet_t, quiet_o = (posterior @ silent + 0.5) / n_toxic, ((1 - posterior) @ silent + 0.5) / n_other
-        heard = np.where(silent, np.log(quiet_t / quiet_o), np.log((1 - quiet_t) / (1 - quiet_o)))
-        if r in (0, 10):  # what voters share within the classes, beyond what the class explains
-            rest = votes - np.outer(posterior, toxic) - np.outer(1 - posterior, other)
-            spread = np.sqrt((rest * rest).mean(axis=0)) + 1e-6
-            trust = 1 / np.maximum(1, ((rest / spread).T @ (rest / spread) / len(votes)).clip(0, 1).sum(axis=1))
-        log_odds = np.log(prior / (1 - prior)) + votes @ (trust * np.log(toxic / other)) + heard
-        posterior = 1 / (1 + np.exp(-np.clip(log_odds, -30, 30)))
-    return posterior, toxic, other, trust
+        one, both, size = zip(*(_rates(votes, w, m) for w, m in zip((1 - posterior, posterior), mined, strict=True)), strict=True)
+        # The first round knows rates alone; dependencies are judged once classes are more than a guess.
+        shared = sum(mutual_information(o, b) * s for o, b, s in zip(one, both, size, strict=True)) / len(votes)
+        np.fill_diagonal(shared, 0)
+        parent = forest(2 * len(votes) * shared, _DEPENDENT) if r else np.full(n, -1)
+        fires, p, has = np.empty((2, n, 2)), np.maximum(parent, 0), parent >= 0
+        pairs, alone = (sum(b[a, c] * s for b, s in zip(both, size, strict=True)) for a, c in ((np.arange(n), p), (p, p)))
+        repeats = (pairs + 1) / (alone + 2)  # of either class: what a voter does after its parent where a class can't tell
+        for y in (0, 1):
+            joint, above = both[y][np.arange(n), p] * size[y], both[y][p, p] * size[y]
+            mine = both[y].diagonal() * size[y]
+            fires[y, :, 1] = np.where(has, (joint + 2 * repeats) / (above + 2), one[y])
+            fires[y, :, 0] = np.where(has, (mine - joint + 2 * one[y]) / (size[y] - above + 2), one[y])
+        silent = np.array([(w @ quiet + 0.5) / (w.sum() + 1) for w in (1 - posterior, posterior)])
+        model = LabelModel(prior, parent, np.clip(fires, 1e-6, 1 - 1e-6), silent, np.stack(one))
+        fresh = model.posterior(votes)
+        moved, posterior = np.abs(fresh - posterior).max(), fresh
+        if moved < 1e-9:
+            break
+    return model
 
 
 def apart(units_: list[tuple[str, int]], voters: int) -> list[str]:
@@ -142,8 +223,8 @@ def in_fold(key: F.Column, folds: int, held: int) -> F.Column:
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, sample: int = SAMPLE, voters: int = VOTERS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Mine voters and fit both models. Held-out rows (id's CRC-32 modulo ``folds`` is ``held``) aren't used."""
     rows = F.broadcast(training_rows(labels, folds, held, sample, id_col, label_col))  # at most ``sample`` rows
-    texts = docs.select(id_col, text_col).join(rows, docs[id_col] == rows["_id"]).select("_id", "_toxic", text_col)
-    texts = texts.withColumn("_h", F.xxhash64(text_col)).dropDuplicates(["_h"])  # copies are one row
+    texts = docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("_text")).join(rows, docs[id_col] == rows["_id"])
+    texts = materialise(texts.groupBy("_text").agg(F.max("_toxic").alias("_toxic")), "labelled")  # copies are one row
 
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, list[int]] = {}
@@ -159,38 +240,49 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, sampl
         seen[""] = counts  # the rows themselves
         yield pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array([x[0] for x in seen.values()], pa.int64()), pa.array([x[1] for x in seen.values()], pa.int64())], ["unit", "other", "toxic"])
 
-    counted = texts.select("_toxic", text_col).mapInArrow(mine, "unit string, other long, toxic long").groupBy("unit").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
-    whole = counted.where("unit = ''").alias("w")
-    n = F.broadcast(whole.select(F.col("other").alias("n_other"), F.col("toxic").alias("n_toxic")))
-    joined = counted.where("unit <> '' AND toxic >= 5").join(n, F.lit(True))
-    rate_t, rate_o = F.col("toxic") / F.col("n_toxic"), (F.col("other") + 0.5) / (F.col("n_other") + 1)
+    counted = texts.select("_toxic", "_text").mapInArrow(mine, "unit string, other long, toxic long").groupBy("unit").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
+    counted = materialise(counted.where("unit = '' OR toxic >= 5"), "units")
+    sizes = counted.where("unit = ''").first()
+    n_other, n_toxic = (sizes["other"], sizes["toxic"]) if sizes else (0, 0)
+    total = n_other + n_toxic
+    prior = float(np.clip((n_toxic + 0.5) / (total + 1), 0.001, 0.5)) if total else 0.01
+    rate_t, rate_o = F.col("toxic") / max(n_toxic, 1), (F.col("other") + 0.5) / (n_other + 1)
     # Likelihood ratio of the two rates against one: only what chance hardly gives is a voter, and what a group of
     # near copies shares isn't.
     surprise = 2 * F.col("toxic") * F.log(rate_t / rate_o)
-    chosen = joined.withColumn("surprise", surprise).where((rate_t > 8 * rate_o) & (rate_t >= 0.02) & (F.col("surprise") > 36)).orderBy(F.desc("surprise"), "unit").select("unit", "toxic").limit(40 * voters).collect()
-    sizes = whole.collect()
-    total = (sizes[0]["other"] + sizes[0]["toxic"]) if sizes else 0
-    prior = float(np.clip(((sizes[0]["toxic"] if sizes else 0) + 0.5) / (total + 1), 0.001, 0.5)) if total else 0.01
+    chosen = counted.where("unit <> ''").withColumn("surprise", surprise).where((rate_t > 8 * rate_o) & (rate_t >= 0.02) & (F.col("surprise") > 36)).orderBy(F.desc("surprise"), "unit").select("unit", "toxic", "other").limit(40 * voters).collect()
     names = tuple(apart([(r["unit"], r["toxic"]) for r in chosen], voters))
     known = frozenset(names)
     if not names:
         weights = np.zeros(_STYLE + 2)
         weights[-1] = np.log(prior / (1 - prior))
-        return Model(names, weights, np.zeros(0), np.zeros(0), np.zeros(0), prior)
+        return Model(names, weights, None, prior)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = {x: i for i, x in enumerate(names)}
         for b in batches:
             ts = b.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array([[order[u] for u in units(t) & known] for t in ts], pa.list_(pa.int32())), pa.array([style(t) for t in ts], pa.list_(pa.float64()))], ["fired", "style"])
+            yield pa.RecordBatch.from_arrays([pa.array([sorted(order[u] for u in units(t) & known) for t in ts], pa.list_(pa.int32())), pa.array([style(t) for t in ts], pa.list_(pa.float64()))], ["fired", "style"])
 
-    sampled = texts.select(text_col).mapInArrow(vote, "fired array<int>, style array<double>").collect()  # at most ``sample`` rows of voters
+    sampled = texts.select("_text").mapInArrow(vote, "fired array<int>, style array<double>").collect()  # at most ``sample`` rows of voters
+    sampled.sort()  # the order of tasks doesn't show in sums
     votes, styles = np.zeros((len(sampled), len(names))), np.array([r["style"] for r in sampled])
     for i, r in enumerate(sampled):
         votes[i, r["fired"]] = 1
-    start = np.where(votes.sum(axis=1) > 0, 0.9, 0.02)
-    posterior, toxic, other, trust = label_model(votes, start, prior)
-    return Model(names, linear_classifier(features(votes, styles), posterior), toxic, other, trust, prior)
+    counts = {r["unit"]: (r["other"], r["toxic"]) for r in chosen}
+    return fitted(names, votes, styles, prior, mined_rates([counts[x] for x in names], n_other, n_toxic))
+
+
+def mined_rates(counts: list[tuple[int, int]], n_other: int, n_toxic: int) -> np.ndarray:
+    """(class, voter): shares of other and of toxic rows in which a unit stands."""
+    c = np.array(counts, dtype=float).reshape(-1, 2).T
+    return (c + np.array([[0.1], [0.1]])) / np.array([[n_other + 1.0], [n_toxic + 1.0]])
+
+
+def fitted(names: tuple[str, ...], votes: np.ndarray, styles: np.ndarray, prior: float, mined: np.ndarray) -> Model:
+    """Label model, then classifier, of a sample's votes."""
+    labels = label_model(votes, mined, prior)
+    return Model(names, linear_classifier(features(votes, styles), labels.posterior(votes)), labels, prior)
 
 
 def score_texts(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score", keep: list[str] | None = None) -> DataFrame:

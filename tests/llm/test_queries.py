@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
+from spindrift.llm import toxicity
 from spindrift.llm.queries import BYTE_BPE, ORACLE_SQL, QUERIES, WORD_BPE
 from tests.llm.test_lm_score import PlainPpm, tokens
 from tests.llm.test_pii import plain
@@ -124,11 +125,35 @@ def test_op8(spark, texts):
         assert [by[i][f"n_{k}"] for k in ("email", "ip", "card", "phone")] == [sum(s.startswith(k) for s in listed) for k in ("email", "ip", "card", "phone")]
 
 
-def test_op9(spark, texts):
+def test_op9(spark, duck, texts):
     by, rows, kinds = got(spark, "op9_toxicity")
     assert len(rows) == len(texts) and kinds["predicted"] == "int"
     for i, r in by.items():
         assert r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3)
+    # The voters, counted plainly; then the two fits on what they vote.
+    label = {}
+    for i, toxic in duck.execute("select doc_id, toxic from labels where toxic is not null").fetchall():
+        if zlib.crc32(str(i).encode()) % 4 != 2 and i in texts:
+            label[texts[i]] = max(label.get(texts[i], 0), toxic)
+    n = Counter(label.values())
+    seen = {1: Counter(), 0: Counter()}
+    for t, y in label.items():
+        seen[y].update(toxicity.units(t))
+    rate_t = {u: c / max(n[1], 1) for u, c in seen[1].items()}
+    rate_o = {u: (seen[0][u] + 0.5) / (n[0] + 1) for u in rate_t}
+    surprise = {u: 2 * c * math.log(rate_t[u] / rate_o[u]) for u, c in seen[1].items() if c >= 5}
+    good = sorted((-x, u) for u, x in surprise.items() if rate_t[u] > 8 * rate_o[u] and rate_t[u] >= 0.02 and x > 36)
+    names = tuple(toxicity.apart([(u, seen[1][u]) for _, u in good[: 40 * toxicity.VOTERS]], toxicity.VOTERS))
+    voted = sorted((sorted(names.index(u) for u in toxicity.units(t) & set(names)), toxicity.style(t)) for t in label)
+    votes = np.zeros((len(voted), len(names)))
+    for k, (fired, _) in enumerate(voted):
+        votes[k, fired] = 1
+    prior = float(np.clip((n[1] + 0.5) / (sum(n.values()) + 1), 0.001, 0.5))
+    if names:
+        model = toxicity.fitted(names, votes, np.array([s for _, s in voted]), prior, toxicity.mined_rates([(seen[0][u], seen[1][u]) for u in names], n[0], n[1]))
+        assert np.allclose([by[i].score for i in texts], model.score(list(texts.values())), rtol=1e-6, atol=1e-9)
+    else:
+        assert np.allclose([r.score for r in rows], prior)
 
 
 def test_op10(spark, texts):
