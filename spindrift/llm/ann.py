@@ -1,102 +1,252 @@
 """Approximate nearest neighbours by multi-index hashing.
 
-Learned rotated binary codes (ITQ) are split into substrings of 8 bits, each with a table. To retrieve every
-code within a Hamming radius r of a query, some substring must lie within floor(r / tables) bits of the
-query's: those buckets of each table are probed, the codes found are held to the radius, and their original
-vectors are reranked by Euclidean distance in double precision.
-
-The rows are dealt into blocks, each with tables of its own; the query set meets every block, in blocks of
-queries. Each block reports its nearest few for a query, and these are merged. A block in which fewer than
-``k`` rows lie within the radius widens it, so as many rows as there are come out.
+Several learned rotations (ITQ, each from its own start) give a code of ``TABLES`` substrings of ``BITS`` bits. Every
+substring is the key of a global table: its first bits name a group of rows, its last bits a bucket within the group.
+With a radius of t bits a substring, all buckets within t bits of a query's are probed in each table. By the pigeonhole
+principle this retrieves every code within ``TABLES * (t + 1) - 1`` bits, and most beyond it; codes found are held to
+a radius over the whole code, each pair under the first table in which it meets, and their original vectors are
+reranked by Euclidean distance in double precision.
+
+The radius grows until the k-th neighbour is settled. On the bounded sample that the rotations are fitted on, the
+distances below which pairs are retrieved at a share of ``SURE`` are measured for each t; a query is settled once its
+k-th neighbour found lies within that distance, and searches on with a larger t otherwise. At t = ``BITS`` every bucket
+is probed, so as many neighbours as there are come out.
+
+Equal vectors are one class with its smallest ids, so copies meet once however many there are. Groups of the tables
+hold about ``ROWS`` rows: their number grows with the table, and a group that is larger all the same (near copies) is
+dealt out in parts. A task holds the rows of one part; queries pass by.
 
 Defined cases: vectors that are null, empty, zero, have null or non-finite parts, or a length other than most
 of the fitted sample, take no part, as query or candidate; ties go to the smaller id; with fewer candidates
 than ``k`` all are returned; a repeated query row with the same id is one query; a row that repeats the query's
-id isn't a candidate of it; null ids take no part; an empty table gives an empty result; other columns are ignored.
+id isn't a candidate of it; repeated rows are one candidate; null ids take no part; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spindrift.llm import itq
-
-#: Rows and queries of a block.
-ROWS, QUERIES = 2048, 2048
-_ONES = np.array([bin(v).count("1") for v in range(256)], dtype=np.uint8)
-
-
-class HammingTables:
-    """The codes of a block, in a table for each substring of 8 bits: rows in the order of their values."""
-
-    def __init__(self, codes: np.ndarray, bits: int):
-        self.codes = codes
-        self.tables = -(-bits // 8)
-        sub = codes.view(np.uint8).reshape(-1, 8)[:, : self.tables]
-        self.order = [np.argsort(sub[:, t], kind="stable") for t in range(self.tables)]
-        self.starts = [np.searchsorted(sub[o, t], np.arange(257)) for t, o in enumerate(self.order)]
-
-    def within(self, code: np.uint64, radius: int) -> np.ndarray:
-        """Rows whose codes differ from ``code`` in at most ``radius`` bits: probe, then verify."""
-        hit = np.zeros(len(self.codes), dtype=bool)
-        near, parts = radius // self.tables, np.array([code], dtype="<u8").view(np.uint8)
-        for t in range(self.tables):
-            starts = self.starts[t]
-            values = np.flatnonzero(_ONES[np.arange(256) ^ int(parts[t])] <= near)
-            sizes = starts[values + 1] - starts[values]
-            at = np.repeat(starts[values] - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())
-            hit[self.order[t][at]] = True
-        rows = np.flatnonzero(hit)
-        return rows[np.bitwise_count(self.codes[rows] ^ code) <= radius]
-
-
-def search_block(rows: pd.DataFrame, queries: pd.DataFrame, model: itq.Itq, k: int, radius: int) -> pd.DataFrame:
-    """The ``k`` nearest rows of this block for each query: query_id, vec_id, score."""
-    out_q, out_v, out_s = [], [], []
-    if len(rows) and len(queries):
-        ids = rows["id"].to_numpy()
-        order = np.argsort(ids, kind="stable")  # so ties go to the smaller id
-        ids, x = ids[order], np.stack(rows["vector"].to_numpy()[order]).astype(np.float64)
-        tables = HammingTables(model.codes(x), model.bits)
-        q = np.stack(queries["vector"].to_numpy()).astype(np.float64)
-        for query, vector, code in zip(queries["id"].tolist(), q, model.codes(q), strict=True):
-            r = radius
-            found = tables.within(code, r)
-            found = found[ids[found] != query]
-            while len(found) < k and r < model.bits:
-                r += 4
-                found = tables.within(code, r)
-                found = found[ids[found] != query]
-            distance = np.sqrt(((x[found] - vector) ** 2).sum(axis=1))
-            best = np.argsort(distance, kind="stable")[:k]
-            out_q.append(np.full(len(best), query))
-            out_v.append(ids[found[best]])
-            out_s.append(distance[best])
-    empty = np.zeros(0, np.int64)
-    return pd.DataFrame({"query_id": np.concatenate([empty, *out_q]), "vec_id": np.concatenate([empty, *out_v]), "score": np.concatenate([empty.astype(float), *out_s])})
-
-
-def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, radius: int = 30, sample: int = itq.SAMPLE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+from spindrift.llm._store import materialise
+
+#: Substrings of a code and bits of each.
+TABLES, BITS = 24, 16
+#: Rows of a group of a table, about; and at most, before it is dealt out in parts.
+ROWS, MOST_ROWS = 2048, 16384
+#: Share of near pairs of the sample that a radius must retrieve to settle queries at their distance.
+SURE = 0.97
+#: Queries of the sample by which radii are measured.
+_TRIED = 256
+
+
+@dataclass(frozen=True)
+class Codes:
+    """Rotations whose bits, one after another, are cut into substrings."""
+
+    rotations: tuple[itq.Itq, ...]
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        """(n, TABLES) substrings."""
+        bits = np.hstack([m.project(x) > 0 for m in self.rotations])[:, : TABLES * BITS]
+        return np.packbits(bits, axis=1, bitorder="little").view("<u2")
+
+
+def fit_codes(x: np.ndarray) -> Codes:
+    rotations, bits = [], 0
+    while bits < TABLES * BITS:
+        rotations.append(itq.fit(x, seed=7 + len(rotations)))
+        bits += rotations[-1].bits
+    return Codes(tuple(rotations))
+
+
+@dataclass(frozen=True)
+class Radii:
+    """``reach[t]``: the distance up to which probing t bits retrieves pairs as surely as ``SURE``; ``whole[t]``: the
+    radius over the whole code that holds nearly all of them; ``start``: the first t to try."""
+
+    reach: np.ndarray
+    whole: np.ndarray
+    start: int
+
+
+def measure_radii(codes: Codes, x: np.ndarray, rows: int, k: int) -> Radii:
+    """From pairs of the sample. ``rows``: those of the whole table, which says how near the k-th neighbour will be."""
+    reach, whole = np.full(BITS + 1, -1.0), np.array([TABLES * (t + 1) - 1 for t in range(BITS + 1)])
+    reach[BITS], whole[BITS] = np.inf, TABLES * BITS
+    tried = np.unique(np.linspace(0, len(x) - 1, min(_TRIED, len(x))).astype(int))
+    sub, square = codes.of(x), (x * x).sum(axis=1)
+    distance = np.sqrt(np.maximum(square[tried][:, None] + square[None, :] - 2 * x[tried] @ x.T, 0))
+    least, total = np.full(distance.shape, BITS, dtype=np.uint8), np.zeros(distance.shape, dtype=np.uint16)
+    for table in range(TABLES):
+        differ = np.bitwise_count(sub[tried, table][:, None] ^ sub[None, :, table])
+        np.minimum(least, differ, out=least)
+        total += differ
+    pairs = np.ones(distance.shape, dtype=bool)
+    pairs[np.arange(len(tried)), tried] = False
+    distance, least, total = distance[pairs], least[pairs], total[pairs]
+    if not len(distance):
+        return Radii(reach, whole, BITS)
+    order = np.argsort(distance, kind="stable")
+    distance, least, total = distance[order], least[order], total[order]
+    numbers = np.arange(1, len(distance) + 1)
+    for t in range(BITS):
+        sure = np.flatnonzero(np.cumsum(least <= t) >= SURE * numbers)
+        if len(sure):
+            n = int(sure[-1]) + 1
+            reach[t] = distance[n - 1]
+            whole[t] = max(whole[t], int(np.quantile(total[:n], 0.998)))
+    expected = distance[min(len(distance) - 1, int(len(distance) * k / max(rows, 1)))]
+    return Radii(reach, np.minimum(whole, TABLES * BITS), int(np.flatnonzero(reach >= expected)[0]))
+
+
+# ------------------------------------------------------------------ within a group
+
+
+def probe(rest: np.ndarray, starts: np.ndarray, values: np.ndarray, asked: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) of all rows in buckets within ``left`` bits of each query's bucket. ``values``: the buckets that
+    hold rows, ``starts``: where each one's rows start in ``rest``, which is sorted."""
+    near = np.bitwise_count(asked[:, None] ^ values[None, :]) <= left[:, None]
+    query, bucket = np.nonzero(near)
+    sizes = np.diff(np.r_[starts, len(rest)])[bucket]
+    first = np.repeat(starts[bucket] - np.r_[0, np.cumsum(sizes)[:-1]], sizes) if len(sizes) else np.zeros(0, np.int64)
+    return np.repeat(query, sizes), first + np.arange(int(sizes.sum()))
+
+
+class _Group:
+    """The rows of one part of one group of a table."""
+
+    def __init__(self, ids: np.ndarray, codes: np.ndarray, table: int, lead: int):
+        rest = codes[:, table] >> np.uint16(lead)
+        order = np.argsort(rest, kind="stable")
+        self.ids, self.codes, self.rest, self.table, self.lead = ids[order], codes[order], rest[order], table, lead
+        self.values, self.starts = np.unique(self.rest, return_index=True)
+
+    def meet(self, ids: np.ndarray, codes: np.ndarray, first_bits: int, t: int, whole: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (query, row) that meet under no earlier table and lie within the whole radius."""
+        own = codes[:, self.table]
+        mask = np.uint16((1 << self.lead) - 1)
+        left = t - np.bitwise_count((own & mask) ^ np.uint16(first_bits)).astype(int)
+        for k in range(0, len(ids), 64):
+            q, r = probe(self.rest, self.starts, self.values, own[k : k + 64] >> np.uint16(self.lead), left[k : k + 64])
+            for s in range(0, len(q), 200_000):
+                a, b = q[s : s + 200_000] + k, r[s : s + 200_000]
+                differ = np.bitwise_count(codes[a] ^ self.codes[b])
+                kept = (differ.sum(axis=1) <= whole) & ((differ <= t).argmax(axis=1) == self.table)
+                if kept.any():
+                    yield ids[a[kept]], self.ids[b[kept]]
+
+
+def _meet(batches: Iterator[pa.RecordBatch], lead: int, t: int, whole: int) -> Iterator[pa.RecordBatch]:
+    """Batches sorted by (table, first, part, asked): rows of a part, then the queries that probe it."""
+    at, held, group = None, [], None
+    for b in batches:
+        spot = np.stack([b.column(i).to_numpy() for i in range(3)])
+        asked, ids = b.column(3).to_numpy(), b.column(4).to_numpy()
+        codes = np.ascontiguousarray(b.column(5).flatten().to_numpy()).view("<u2").reshape(b.num_rows, TABLES)
+        cuts = [0, *(np.flatnonzero((spot[:, 1:] != spot[:, :-1]).any(axis=0) | (asked[1:] != asked[:-1])) + 1).tolist(), b.num_rows]
+        for s, e in zip(cuts, cuts[1:], strict=False):
+            if s == e:
+                continue
+            here = tuple(spot[:, s].tolist())
+            if here != at:
+                at, held, group = here, [], None
+            if not asked[s]:
+                held.append((ids[s:e], codes[s:e]))
+            elif held:
+                group = group or _Group(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), here[0], lead)
+                for q, v in group.meet(ids[s:e], codes[s:e], here[1], t, whole):
+                    yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(v)], ["q", "v"])
+
+
+# ------------------------------------------------------------------ Spark
+
+
+def _coded(classes: DataFrame, codes: Codes) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 4096):
+                part = b.slice(k, 4096)
+                words = codes.of(itq.matrix(part.column(1))).view("<i8")
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(words), pa.list_(pa.int64()))], ["cls", "code"])
+
+    return classes.select("cls", "vector").mapInArrow(run, "cls long, code array<long>")
+
+
+def _posted(coded: DataFrame, lead: int) -> DataFrame:
+    """table, first (the first bits of the substring) of every row in every table."""
+    substrings = []
+    for table in range(TABLES):
+        word, shift = divmod(table * BITS, 64)
+        substrings.append(F.struct(F.lit(table).alias("table"), F.shiftrightunsigned(F.col("code")[word], shift).bitwiseAND(F.lit((1 << lead) - 1)).cast("int").alias("first")))
+    return coded.select("cls", "code", F.inline(F.array(*substrings)))
+
+
+def _pairs(posts: DataFrame, asked: DataFrame, lead: int, t: int, whole: int) -> DataFrame:
+    """q and v: classes of queries, and the classes that probing t bits finds within the whole radius."""
+    counts = posts.groupBy("table", "first").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST_ROWS)
+    parts = materialise(counts.select("table", "first", F.ceil(F.col("n") / MOST_ROWS).cast("int").alias("parts")), "parts")
+    n = F.coalesce("parts", F.lit(1))
+    rows = posts.join(parts, ["table", "first"], "left").select("table", "first", F.pmod(F.xxhash64("cls"), n).cast("int").alias("part"), F.lit(0).alias("asked"), "cls", "code")
+    flips = [m for m in range(1 << lead) if m.bit_count() <= t]
+    probes = _posted(asked, lead).select("table", F.explode(F.transform(F.array(*[F.lit(m) for m in flips]), lambda m: F.col("first").bitwiseXOR(m))).alias("first"), "cls", "code")
+    probes = probes.join(parts, ["table", "first"], "left").select("table", "first", F.explode(F.sequence(F.lit(0), n - 1)).alias("part"), F.lit(1).alias("asked"), "cls", "code")
+    spot = ["table", "first", "part"]
+    return rows.unionByName(probes).repartition(*spot).sortWithinPartitions(*spot, "asked").mapInArrow(lambda it: _meet(it, lead, t, whole), "q long, v long")
+
+
+def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, sample: int = itq.SAMPLE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id (long), rank (int, from 1), vec_id (long), score (double) for each usable row of ``queries``."""
 
     def usable(df: DataFrame) -> DataFrame:
         return df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")).where(itq.usable(F.col("vector")) & F.col("id").isNotNull())
 
-    rows, asked = usable(vectors), usable(queries).dropDuplicates(["id"])
-    model = itq.fit_table(rows, "id", "vector", sample=sample)
-    schema = "query_id long, rank int, vec_id long, score double"
-    if model is None:
-        return vectors.sparkSession.createDataFrame([], schema)
-    fits = F.size("vector") == len(model.mean)
-    rows, asked = rows.where(fits), asked.where(fits)
-    blocks, parts = (max(1, -(-df.count() // n)) for df, n in ((rows, ROWS), (asked, QUERIES)))
-    spread = F.xxhash64("id")
-    rows = rows.withColumn("block", F.pmod(spread, F.lit(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    asked = asked.withColumn("part", F.pmod(spread, F.lit(parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = rows.groupBy("block", "part").cogroup(asked.groupBy("block", "part")).applyInPandas(lambda r, q: search_block(r, q, model, k, radius), "query_id long, vec_id long, score double")
+    spark, schema = vectors.sparkSession, "query_id long, rank int, vec_id long, score double"
+    x = itq.sample_table(usable(vectors), "id", "vector", sample)
+    if x is None:
+        return spark.createDataFrame([], schema)
+    codes, fits = fit_codes(x), F.size("vector") == x.shape[1]
+    # A class's smallest ids are all that can be among k neighbours.
+    place = F.dense_rank().over(Window.partitionBy("vector").orderBy("id"))
+    few = usable(vectors).where(fits).withColumn("place", place).where(F.col("place") <= k + 1)
+    grouped = few.groupBy("vector").agg(F.array_sort(F.collect_set("id")).alias("ids"))
+    classes = materialise(grouped.select(F.col("ids")[0].alias("cls"), "vector", "ids"), "classes")
+    named = usable(queries).where(fits).join(classes.select("cls", "vector"), "vector").groupBy("id").agg(F.min("cls").alias("q"))
+    named = materialise(named, "queries")
+    rows = classes.count()
+    radii, lead = measure_radii(codes, x, rows, k), min(12, max(0, round(np.log2(max(rows, 1) / ROWS))))
+    coded = materialise(_coded(classes, codes), "codes")
+    posts = _posted(coded, lead)
+    open_ = coded.join(named.select(F.col("q").alias("cls")).distinct(), "cls", "left_semi")
+
+    wide = F.transform("vector", lambda v: v.cast("double"))
+    candidates = classes.select(F.col("cls").alias("v"), wide.alias("vx"), "ids")
+    asked = classes.join(named.select(F.col("q").alias("cls")).distinct(), "cls", "left_semi").select(F.col("cls").alias("q"), wide.alias("qx"))
+    gap = F.sqrt(F.aggregate(F.zip_with("qx", "vx", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, y: s + y))
+    nearest = Window.partitionBy("q").orderBy("score", "v")
+    found, t = None, radii.start
+    while True:
+        met = _pairs(posts, open_, lead, t, int(radii.whole[t])).join(candidates, "v").join(asked, "q").select("q", "v", "ids", gap.alias("score"))
+        top = materialise(met.withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= k + 1), "nearest")
+        # The k-th neighbour is where the classes found hold k ids beside the query's own.
+        held = top.withColumn("held", F.sum(F.size("ids")).over(nearest))
+        kth = held.groupBy("q").agg(F.min(F.when(F.col("held") > k, F.col("score"))).alias("kth"))
+        settled = materialise(kth.where(F.lit(t == BITS) | (F.col("kth") <= float(radii.reach[t]))).select("q"), "settled")
+        done = top.join(settled, "q", "left_semi")
+        found = done if found is None else found.unionByName(done)
+        open_ = materialise(open_.join(settled, open_["cls"] == settled["q"], "left_anti"), "open")
+        if t == BITS or open_.isEmpty():
+            break
+        far = kth.join(settled, "q", "left_anti").agg(F.max("kth")).first()[0]
+        wider = np.flatnonzero(radii.reach >= far) if far is not None else []
+        t = max(t + 1, int(wider[0]) if len(wider) else 0)
+    each = named.join(found, "q").select(F.col("id").alias("query_id"), F.explode("ids").alias("vec_id"), "score").where("vec_id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return each.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -60,16 +60,20 @@ def usable(vector: F.Column) -> F.Column:
     return F.coalesce(vector.isNotNull() & finite & F.exists(wide, lambda v: v != 0), F.lit(False))
 
 
-def fit_table(vectors: DataFrame, id_col: str, vector_col: str, bits: int = 64, sample: int = SAMPLE, scaled: bool = False) -> Itq | None:
-    """Fit on the sample of usable vectors of the dimension that most of the sample has; None without any.
-    With ``scaled``, on their directions."""
+def sample_table(vectors: DataFrame, id_col: str, vector_col: str, sample: int = SAMPLE) -> np.ndarray | None:
+    """The sample of usable vectors, of the dimension that most of the sample has; None without any."""
     rows = vectors.select(vector_col).orderBy(F.xxhash64(id_col), F.xxhash64(vector_col)).limit(sample).collect()
     if not rows:
         return None
     sizes = [len(r[0]) for r in rows]
     size = max(sorted(set(sizes)), key=sizes.count)
-    x = np.array([r[0] for r in rows if len(r[0]) == size], dtype=np.float64)
-    return fit(unit(x) if scaled else x, bits)
+    return np.array([r[0] for r in rows if len(r[0]) == size], dtype=np.float64)
+
+
+def fit_table(vectors: DataFrame, id_col: str, vector_col: str, bits: int = 64, sample: int = SAMPLE, scaled: bool = False) -> Itq | None:
+    """Fit on the sample, or with ``scaled`` on its directions; None without any usable vector."""
+    x = sample_table(vectors, id_col, vector_col, sample)
+    return None if x is None else fit(unit(x) if scaled else x, bits)
 
 
 def unit(x: np.ndarray) -> np.ndarray:

@@ -51,7 +51,7 @@ def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
-    return ann.nearest_neighbours(vectors, vectors.where("vec_id % 100 = 0"), k=10, radius=30)
+    return ann.nearest_neighbours(vectors, vectors.where("vec_id % 100 = 0"), k=10)
 
 
 def op8_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,17 +44,33 @@ def test_near_dedup_empty(spark, vectors):
     assert [r.component_id for r in embedding_dedup.embedding_near_dedup(df.where("vec_id = 600")).collect()] == [600]
 
 
-def test_tables_retrieve_all_within_the_radius():
+@pytest.mark.parametrize("lead", [0, 3])
+def test_probing_retrieves_every_code_within_the_radius(spark, lead):
     rng = np.random.default_rng(0)
-    codes = rng.integers(0, 2**63, 500, dtype=np.uint64)
-    tables = ann.HammingTables(codes, 64)
-    for r in (0, 7, 20, 30):
-        assert tables.within(codes[3], r).tolist() == [i for i, c in enumerate(codes.tolist()) if (c ^ int(codes[3])).bit_count() <= r]
+    base = rng.integers(0, 2, (6, ann.TABLES * ann.BITS))
+    bits = np.array([base[i % 6] ^ (rng.random(ann.TABLES * ann.BITS) < rng.choice([0, 0.05, 0.1, 0.2])) for i in range(400)])
+    sub = np.packbits(bits, axis=1, bitorder="little")
+    df = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(sub.view("<i8"))], "cls long, code array<long>")
+    differ = np.bitwise_count(sub.view("<u2")[::20, None] ^ sub.view("<u2")[None])
+    for t, whole in ((0, 384), (2, 90), (3, 200)):
+        got = [(r.q, r.v) for r in ann._pairs(ann._posted(df, lead), df.where("cls % 20 = 0"), lead, t, whole).collect()]
+        want = {(20 * i, j) for i, j in zip(*np.nonzero((differ.min(axis=2) <= t) & (differ.sum(axis=2) <= whole)), strict=True)}
+        assert len(got) == len(set(got)) and set(got) == want
+        certain = {(20 * i, j) for i, j in zip(*np.nonzero(differ.sum(axis=2) <= min(whole, ann.TABLES * (t + 1) - 1)), strict=True)}
+        assert certain <= want  # pigeonhole
+
+
+def test_large_groups_are_dealt_out(spark, vectors, monkeypatch):
+    df = spark.createDataFrame(vectors, SCHEMA)
+    asked = df.where("vec_id % 50 = 0")
+    want = sorted(ann.nearest_neighbours(df, asked).collect())
+    monkeypatch.setattr(ann, "MOST_ROWS", 40)
+    assert sorted(ann.nearest_neighbours(df, asked).collect()) == want
 
 
 def test_neighbours_recall_and_order(spark, vectors):
     df = spark.createDataFrame(vectors, SCHEMA).repartition(3)
-    got = ann.nearest_neighbours(df, df.where("vec_id % 5 = 0"), k=10, radius=15).collect()
+    got = ann.nearest_neighbours(df, df.where("vec_id % 5 = 0"), k=10).collect()
     x = {r[0]: np.array(r[1], dtype=float) for r in vectors if r[0] < 600}
     x[606] = np.array(vectors[606][1], dtype=float)
     hits = total = 0
