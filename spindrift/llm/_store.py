@@ -8,15 +8,18 @@ exit; a cluster without the setting is refused.
 from __future__ import annotations
 
 import atexit
+import contextlib
+import contextvars
 import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: str | None = None
-_written: list[str] = []
+_scopes: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("scopes", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,7 +47,8 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    _written.append(path)
+    for paths in _scopes.get():
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -55,13 +59,16 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
-def marker() -> int:
-    """A point in the order in which :func:`materialise` writes."""
-    return len(_written)
-
-
-def written_since(mark: int) -> list[str]:
-    return _written[mark:]
+@contextlib.contextmanager
+def scope() -> Iterator[list[str]]:
+    """Collects the paths that :func:`materialise` writes within, of this thread's work alone. Scopes may nest: the
+    outer one holds what the inner one does."""
+    own: list[str] = []
+    token = _scopes.set((*_scopes.get(), own))
+    try:
+        yield own
+    finally:
+        _scopes.reset(token)
 
 
 def release(spark: SparkSession, paths: list[str], keep: tuple[DataFrame, ...] = ()) -> None:

@@ -42,7 +42,7 @@ TABLES, BITS = 24, 16
 #: Rows of a group of a table, about; and at most, before it is dealt out in parts.
 ROWS, MOST_ROWS = 2048, 16384
 #: Share of near pairs of the sample that a radius must retrieve to settle queries at their distance.
-SURE = 0.97
+SURE = 0.95
 #: Queries of the sample by which radii are measured.
 _TRIED = 256
 

@@ -5,9 +5,9 @@ kind. Positions are in code points: the pieces between matches come from the sam
 of pieces and matches give each match's start. Quantifiers are possessive where that changes nothing, so long
 texts neither backtrack nor recurse; matches that fail their kind's test are dropped, without another try.
 
-Extraction: every base entity, and every other token that looks like an identifier (it holds a digit, or an at
-sign), is an instance with lexical patterns: the three words before it, and the word before it where that ends
-like a cue (``phone:``, ``id=``). Known instances (at first the base entities) score the patterns of the
+Extraction: every base entity, and every other token that looks like an identifier (it holds a digit or an at sign,
+or is made of groups of digits), is an instance with lexical patterns: the three words before it, and the word before
+it where that ends like a cue (``phone:``, ``id=``). Known instances (at first the base entities) score the patterns of the
 pattern-instance graph; a pattern that at least ``support`` distinct known values of a kind, from as many
 documents, confirm, and at least ``confidence`` of whose distinct values are known of that kind, makes the other
 tokens that it extracts known instances too, for the next round. Rounds go on until none finds a new value. All
@@ -16,7 +16,8 @@ occurrences of what was found, under whatever context, are spans beside the base
 All is DataFrame and SQL functions. The graph is aggregated by pattern and value before patterns are judged, so a
 hot pattern or value is a sum, not a group in one task; tables between rounds are written to the shared folder.
 
-Defined cases: a null text is an empty one; null and repeated ids stay as they are, rows never mix; an empty table
+Defined cases: a null text is an empty one; a very long one is one row, in which each token is held against each base
+span, and matches are placed by a fold over them; null and repeated ids stay as they are, rows never mix; an empty table
 gives an empty result; other columns pass through, those named like new ones are replaced.
 """
 
@@ -25,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm._store import materialise
+from spindrift.llm._store import materialise, release, scope
 
 #: Kinds in their order.
 KINDS = ("email", "ip", "card", "phone")
@@ -38,9 +39,13 @@ PATTERNS = {
     "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?=(?:[ -]?[0-9]){12})[0-9]*+(?:[ -][0-9]++)*+",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-#: A token that looks like an identifier: it has a digit or an at sign within.
-TOKEN = r"(?<![A-Za-z0-9@._+/-])(?=[A-Za-z._+/-]*+[0-9@])[A-Za-z0-9@._+/-]++"
-#: Characters before an instance in which its context is looked for.
+#: A token that looks like an identifier: groups of digits joined by single separators or brackets, with seven digits at
+#: least; or an unbroken token that has a digit or an at sign within.
+TOKEN = (
+    r"(?<![A-Za-z0-9@._+/-])(?:(?=(?:[+( ./)-]*+[0-9]){7})[+]?+[(]?+[0-9]++[)]?+(?:[ ./-]?+[(]?+[0-9]++[)]?+)++(?![A-Za-z0-9@_+/-])"
+    r"|(?=[A-Za-z._+/-]*+[0-9@])[A-Za-z0-9@._+/-]++)"
+)
+#: Characters before an instance in which its last three words are looked for first; all before it where these don't do.
 _BEFORE = 80
 
 
@@ -102,14 +107,27 @@ def base_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def _contexts(text: Column, start: Column) -> Column:
-    """The lexical patterns of an instance: three words before it, and a cue."""
+    """The lexical patterns of an instance: the three words before it, and a cue. Words are whole, however long."""
+    space = r"[ \t\n\x0B\f\r]+"
     at = F.greatest(start - _BEFORE, F.lit(0))
-    words = F.filter(F.split(F.lower(text.substr(at + 1, start - at)), r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
-    n = F.size(words)
-    three = F.when(n >= 3, F.concat_ws(" ", F.slice(words, F.greatest(n - 2, F.lit(1)), 3)))
-    last = F.element_at(words, -1)
-    cue = F.when((n >= 1) & last.rlike(r"[\p{L}]{2,}[:=#(\[\"']*[:=#]+[(\[\"']*$"), F.concat(F.lit("cue "), last))
-    return F.filter(F.array(three, cue), lambda p: p.isNotNull())
+
+    def words(part: Column) -> Column:
+        return F.split(F.lower(part), space)
+
+    def whole(w: Column) -> Column:
+        """The words of the near text if three of them are surely whole: its first may have been cut."""
+        near = F.filter(F.when(at > 0, F.slice(w, 2, 1000)).otherwise(w), lambda x: x != "")
+        return F.when((at == 0) | (F.size(near) >= 3), near).otherwise(F.filter(words(F.substring(text, F.lit(1), start)), lambda x: x != ""))
+
+    def patterns(w: Column) -> Column:
+        n, last = F.size(w), F.element_at(w, -1)
+        three = F.when(n >= 3, F.concat_ws(" ", F.slice(w, F.greatest(n - 2, F.lit(1)), 3)))
+        cue = F.when((n >= 1) & last.rlike(r"[\p{L}]{2,}[:=#(\[\"']*[:=#]+[(\[\"']*$"), F.concat(F.lit("cue "), F.regexp_replace(last, r"[(\[\"']+$", "")))
+        return F.filter(F.array(three, cue), lambda p: p.isNotNull())
+
+    # Arrays of one element name what is used more than once.
+    near = F.transform(F.array(words(text.substr(at + 1, start - at))), whole)
+    return F.element_at(F.transform(near, patterns), 1)
 
 
 def bootstrap(occurrences: DataFrame, rounds: int | None = None, support: int = 5, confidence: float = 0.8, row_col: str = "_row") -> DataFrame:
@@ -163,9 +181,11 @@ def find_pii(docs: DataFrame, rounds: int | None = None, support: int = 5, confi
     context = F.concat(*(_instances(_INNER[k], k, F.col(text_col)) for k in KINDS), _instances("_tokens", None, F.col(text_col)))
     found = found.withColumn("_all", context).drop("_tokens", *_INNER.values())
     found = materialise(found if keep_text else found.drop(text_col), "found")
-    occurrences = materialise(found.select("_row", F.explode("_all").alias("_x")).select("_row", "_x.kind", "_x.start", "_x.stop", "_x.value", F.explode_outer("_x.patterns").alias("pattern")), "occurrences")
-    more = bootstrap(occurrences, rounds, support, confidence).groupBy("_row").agg(F.collect_list(F.struct("kind", "start", "stop")).alias("_more"))  # of one document
-    more = materialise(more, "discovered")  # so that its size is known before texts meet it
+    with scope() as tables:
+        every = found.select("_row", F.explode("_all").alias("_x")).select("_row", "_x.kind", "_x.start", "_x.stop", "_x.value", F.explode_outer("_x.patterns").alias("pattern"))
+        more = bootstrap(materialise(every, "occurrences"), rounds, support, confidence)
+        more = materialise(more.groupBy("_row").agg(F.collect_list(F.struct("kind", "start", "stop")).alias("_more")), "discovered")  # of one document
+    release(docs.sparkSession, tables, keep=(more,))
     base = F.transform(F.filter("_all", lambda x: x["kind"].isNotNull()), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["stop"].alias("stop")))
     empty = F.array().cast("array<struct<kind:string,start:int,stop:int>>")
     kept = [c for c in docs.columns if c not in ("base", "spans", "_row", "_tokens", *([] if keep_text else [text_col]))]

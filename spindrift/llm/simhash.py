@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spindrift.llm._store import marker, materialise, release, written_since
+from spindrift.llm._store import materialise, release, scope
 from spindrift.llm.components import connected_components
 
 SEGMENTS = 5
@@ -289,11 +289,15 @@ def simhash_dedup(docs: DataFrame, words: int = 3, radius: int = 3, id_col: str
 
 # ------------------------------------------------------------------ near copies by verified similarity
 
-#: Keys of a document: with a similarity of 0.8, all differ for one pair in 16 thousand.
-KEYS = 6
-_ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB]
-#: Bits in which near copies' fingerprints may differ before their shingles are compared.
-LOOSE = 22
+#: Keys of a document, one for each random order of shingles: with a similarity of 0.8, all differ for one pair in
+#: 390 thousand.
+KEYS = 8
+_ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3]
+#: Bits in which the fingerprints of larger sets may differ before their shingles are compared. Of two large sets with a
+#: similarity of 0.8 each bit differs with a probability of 0.152, and more than 28 of 64 for one pair in 100 million.
+LOOSE = 28
+#: Sets of fewer shingles are compared by these whatever their fingerprints are: few shingles make noisy bits.
+SMALL = 64
 
 
 def sketch(text: str | None, words: int, seed: int = 42) -> tuple[int, list[int], np.ndarray]:
@@ -334,9 +338,14 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
+def _every(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """(2, n) of all pairs of the two: of one block each, so few."""
+    return np.stack([np.repeat(a, len(b)), np.tile(b, len(a))])
+
+
 def _verify(batches: Iterator[pa.RecordBatch], least: float, loose: int) -> Iterator[pa.RecordBatch]:
     """Batches sorted by (number, key, left, right). Fingerprints are compared bit-sliced; pairs within the loose
-    radius that meet here first and aren't connected yet are held to the similarity of their shingles."""
+    radius or of a small set that meet here first and aren't connected yet are held to the similarity of their shingles."""
 
     def block(rows: pa.Table) -> pa.RecordBatch | None:
         number, left, right = (rows.column(c)[0].as_py() for c in ("number", "left", "right"))
@@ -345,10 +354,12 @@ def _verify(batches: Iterator[pa.RecordBatch], least: float, loose: int) -> Iter
         shingles = [np.frombuffer(x, np.uint32) for x in rows.column("shingles").to_pylist()]
         a = np.flatnonzero(own == left)
         b = np.flatnonzero(own == right)
+        size = np.array([len(x) for x in shingles])
         i, j = within(fp[a], fp[b], loose)
-        i, j = a[i], b[j]
+        few, any_ = a[size[a] < SMALL], b[size[b] < SMALL * 2]  # a set similar to a small one isn't twice as large
+        more = np.concatenate([np.stack([a[i], b[j]]), _every(few, any_), _every(a[size[a] < SMALL * 2], b[size[b] < SMALL])], axis=1)
+        i, j = np.unique(np.sort(more, axis=0), axis=1) if left == right else np.unique(more, axis=1)
         i, j = (i[i < j], j[i < j]) if left == right else (i, j)
-        size = np.array([len(x) for x in shingles])
         # Sets of too different sizes can't be similar; other pairs count under the first key they share.
         fit = (np.minimum(size[i], size[j]) >= least * np.maximum(size[i], size[j])) & ((keys[i] == keys[j]).argmax(axis=1) == number)
         i, j = i[fit], j[fit]
@@ -387,10 +398,23 @@ def drop_near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, loose:
     the order of rows).
 
     Links join documents whose sets of ``words``-word shingles have a Jaccard similarity of at least ``least``;
-    groups are what links connect. Equal sets are one class. Classes meet under a key for each of several random
-    orders of shingles (their smallest one), are compared there by bit-sliced fingerprints in blocks, and verified.    """
+    groups are what links connect. Equal sets are one class. Keys (a class's smallest shingle under each of several
+    random orders) say which classes meet; all that meet are compared by bit-sliced fingerprints in blocks, and verified
+    by their shingles, for which the low 32 bits of their hashes stand.
+
+    Defined cases: null texts, empty ones and those of white space alone are copies of one another; fewer words than a
+    shingle are one shingle; equal rows are copies; very long texts are compared whole; an empty table gives an empty
+    result; all columns pass through, whatever their names.
+    """
+    with scope() as tables:
+        rows, dropped = _copies(docs, words, least, loose, block, id_col, text_col)
+    release(docs.sparkSession, tables, keep=(rows, dropped))
+    return rows.join(dropped, F.col("_row") == F.col("_dropped"), "left_anti").select(*docs.columns)
+
+
+def _copies(docs: DataFrame, words: int, least: float, loose: int, block: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The rows with their numbers (_row), and the numbers of those to drop (_dropped)."""
     rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")  # so that numbers stay
-    mark = marker()
     made = materialise(_sketches(rows, words, id_col, text_col), "sketches")
     same = ["fp", F.xxhash64("shingles").alias("h")]
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
@@ -415,5 +439,4 @@ def drop_near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, loose:
     kept = place.groupBy("group").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
     # Copies are fewer than documents, so it is they that are looked up.
     dropped = materialise(made.select("row").join(kept, "row", "left_anti").select(F.col("row").alias("_dropped")).sortWithinPartitions("_dropped"), "dropped")
-    release(docs.sparkSession, written_since(mark), keep=(dropped,))
-    return rows.join(dropped, F.col("_row") == F.col("_dropped"), "left_anti").select(*docs.columns)
+    return rows, dropped

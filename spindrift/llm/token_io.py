@@ -15,7 +15,8 @@ task that runs again replaces it by an equal one. Writing needs a store that pya
 through Spark's binaryFile source.
 
 Defined cases: a null text is an empty one (only the end id); null keys come first; rows with equal keys are
-ordered by a hash of their texts; an empty table gives no files and an empty result; other columns are ignored.
+ordered by a hash of their texts; keys that aren't whole numbers are an error; a very long text stands whole in
+one shard; an empty table gives no files and an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from spindrift.llm._store import new_path, publish, materialise
@@ -143,6 +145,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, path: s
     Returns the manifest, one row per shard: part, shard (int), path, n_docs, n_ids (long), first_id (long:
     ids in all shards before it). The texts are dealt out by key range once; ids never shuffle.
     """
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"{id_col} must be a whole number: files hold keys of 64 bits")
     spark = docs.sparkSession
     folder = path or new_path(spark, "tokens")
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spindrift.llm._store import materialise
+from spindrift.llm._store import materialise, release, scope
 
 #: Labelled rows that voters and models are fitted on, and voters, at most.
 SAMPLE, VOTERS = 20_000, 128
@@ -222,6 +222,13 @@ def in_fold(key: F.Column, folds: int, held: int) -> F.Column:
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, sample: int = SAMPLE, voters: int = VOTERS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Mine voters and fit both models. Held-out rows (id's CRC-32 modulo ``folds`` is ``held``) aren't used."""
+    with scope() as tables:
+        model = _fit(docs, labels, folds, held, sample, voters, id_col, text_col, label_col)
+    release(docs.sparkSession, tables)  # the model holds what was read of them
+    return model
+
+
+def _fit(docs: DataFrame, labels: DataFrame, folds: int, held: int, sample: int, voters: int, id_col: str, text_col: str, label_col: str) -> Model:
     rows = F.broadcast(training_rows(labels, folds, held, sample, id_col, label_col))  # at most ``sample`` rows
     texts = docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("_text")).join(rows, docs[id_col] == rows["_id"])
     texts = materialise(texts.groupBy("_text").agg(F.max("_toxic").alias("_toxic")), "labelled")  # copies are one row

@@ -124,6 +124,11 @@ def test_damaged_shard_is_refused():
         token_io.Shard(bytes(data))
 
 
+def test_keys_must_be_whole_numbers(spark):
+    with pytest.raises(TypeError, match="whole number"):
+        token_io.write_token_files(spark.createDataFrame([("a", "x")], "doc_id string, text string"), PATH, end_id=2)
+
+
 def test_token_round_trip(spark, library):
     docs = spark.createDataFrame([(i if i != 4 else None, t, 1) for i, t in enumerate(TEXTS)], "doc_id long, text string, start int").repartition(3)
     rows = token_io.token_round_trip(docs, PATH, end_id=2, shard_ids=4000).collect()

@@ -73,6 +73,17 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert red[42] == docs[42]
 
 
+def test_groups_of_digits_and_long_words(spark):
+    """Numbers written in groups are found whole, brackets before them don't hide the cue, and three long words count."""
+    long = [f"{c * 90}{i}" for i, c in enumerate("xyz")]
+    docs = [f"oak Tel: +1 (555) 200-{1000 + i} and " + " ".join(long) + f" a{i}@mail{i}.org end" for i in range(20)]
+    docs += ["ash Tel: 555 200 1000 elm", "ash Tel: (555) 200-1000, elm", "fir " + " ".join(long) + " who-at-host9 end", "no cue 555 200 1001 here"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(docs)], "doc_id long, text string").repartition(3)
+    rows = {r.doc_id: r for r in pii.find_pii(df).collect()}
+    found = [{docs[i][s.start : s.stop] for s in set(rows[i].spans) - set(rows[i].base)} for i in range(20, 24)]
+    assert found == [{"555 200 1000"}, {"(555) 200-1000"}, {"who-at-host9"}, set()]
+
+
 def test_columns_and_empty(spark):
     df = spark.createDataFrame([(1, "a@b.c x", "keep", 3), (1, "a@b.c x", "keep", 3), (None, None, None, None)], "doc_id long, text string, ip string, base int")
     out = pii.find_pii(df).collect()

@@ -56,7 +56,7 @@ def test_bit_sliced_comparison(seed, radius):
 def test_components(spark):
     rng = np.random.default_rng(1)
     links = [(i, i + 1) for i in range(40)] + [(1000, 500 + i) for i in range(30)] + [tuple(map(int, rng.integers(2000, 2100, 2))) for _ in range(70)] + [(7, 7), (3, 2), (2, 3)]
-    df = spark.createDataFrame([*links, (None, 1)], "a long, b long")
+    df = spark.createDataFrame([*links, (None, 1), (1, None), (None, None)], "a long, b long")
     nodes = {x for p in links if p[0] != p[1] for x in p}
     assert {r.node: r.component for r in connected_components(df).collect()} == smallest([p for p in links if p[0] != p[1]], nodes)
     assert connected_components(df.limit(0)).collect() == []
