@@ -344,8 +344,10 @@ def _every(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _verify(batches: Iterator[pa.RecordBatch], least: float, loose: int) -> Iterator[pa.RecordBatch]:
-    """Batches sorted by (number, key, left, right). Fingerprints are compared bit-sliced; pairs within the loose
-    radius or of a small set that meet here first and aren't connected yet are held to the similarity of their shingles."""
+    """Batches sorted by (number, key, left, right): a block of a key's rows, or two blocks of different numbers to
+    compare with each other. Fingerprints are compared bit-sliced; pairs within the loose radius or of a small set that
+    aren't connected yet are held to the similarity of their shingles. A pair counts under the first key it shares;
+    but within one of several blocks of a key (``cut``) under all of them."""
 
     def block(rows: pa.Table) -> pa.RecordBatch | None:
         number, left, right = (rows.column(c)[0].as_py() for c in ("number", "left", "right"))
@@ -361,7 +363,9 @@ def _verify(batches: Iterator[pa.RecordBatch], least: float, loose: int) -> Iter
         i, j = np.unique(np.sort(more, axis=0), axis=1) if left == right else np.unique(more, axis=1)
         i, j = (i[i < j], j[i < j]) if left == right else (i, j)
         # Sets of too different sizes can't be similar; other pairs count under the first key they share.
-        fit = (np.minimum(size[i], size[j]) >= least * np.maximum(size[i], size[j])) & ((keys[i] == keys[j]).argmax(axis=1) == number)
+        fit = (np.minimum(size[i], size[j]) >= least * np.maximum(size[i], size[j])) & (row[i] != row[j])
+        if not rows.column("cut")[0].as_py():
+            fit &= (keys[i] == keys[j]).argmax(axis=1) == number
         i, j = i[fit], j[fit]
         group = np.arange(len(row))
         out_a, out_b = [], []
@@ -412,6 +416,20 @@ def drop_near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, loose:
     return rows.join(dropped, F.col("_row") == F.col("_dropped"), "left_anti").select(*docs.columns)
 
 
+def _outside(met: DataFrame, component: DataFrame, block: int) -> DataFrame:
+    """Places where the rows of a key outside its largest component meet all rows of the key. Blocks of these rows are
+    numbered from 0, blocks of all rows from -1 downwards."""
+    near = met.join(component.withColumnRenamed("node", "row"), "row", "left").withColumn("g", F.coalesce("component", "row"))
+    sizes = materialise(near.groupBy("number", "key", "g").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    largest = sizes.groupBy("number", "key").agg(F.max(F.struct("n", "g"))["g"].alias("largest"), (F.sum("n") - F.max("n")).alias("rest")).where("rest > 0")
+    near = materialise(near.join(largest, ["number", "key"]).withColumn("parts", F.ceil(F.col("rest") / block).cast("int")), "near")
+    part = F.pmod(F.xxhash64("number", "row"), F.col("parts")).cast("int")
+    columns = ["row", "number", "key", "own", "left", "right", F.lit(False).alias("cut")]
+    all_rows = near.withColumns({"right": -1 - F.col("own"), "left": F.explode(F.sequence(F.lit(0), F.col("parts") - 1))}).withColumn("own", F.col("right"))
+    others = near.where("g <> largest").withColumns({"left": part, "right": F.explode(F.sequence(-F.col("blocks"), F.lit(-1)))}).withColumn("own", F.col("left"))
+    return all_rows.select(*columns).unionByName(others.select(*columns))
+
+
 def _copies(docs: DataFrame, words: int, least: float, loose: int, block: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """The rows with their numbers (_row), and the numbers of those to drop (_dropped)."""
     rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")  # so that numbers stay
@@ -426,14 +444,19 @@ def _copies(docs: DataFrame, words: int, least: float, loose: int, block: int, i
     grouped = keyed.groupBy("number", "key").agg(F.count(F.lit(1)).alias("c"), *[f.alias(f"s{k}") for k, f in enumerate(same_key)])
     fresh = grouped.where("c > 1 AND NOT (" + " OR ".join(f"s{k}" for k in range(KEYS)) + ")")
     shared = materialise(fresh.select("number", "key", F.ceil(F.col("c") / block).cast("int").alias("blocks")), "shared")
-    own = F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(F.least(F.col("own"), other).alias("left"), F.greatest(F.col("own"), other).alias("right")))
-    met = keyed.drop("keys").join(shared, ["number", "key"]).withColumn("own", own).withColumn("pair", F.explode(pairs)).select("row", "number", "key", "own", "pair.left", "pair.right")
-    # What meets grows with the corpus, so it is never broadcast.
-    met = materialise(met, "met").join(made.select("row", "fp", "keys", "shingles").hint("merge"), "row")
-    spot = ["number", "key", "left", "right"]
-    dealt = met.repartition(*spot).sortWithinPartitions(*spot).select(*spot, "own", "row", "fp", "keys", "shingles")
-    links = materialise(dealt.mapInArrow(lambda it: _verify(it, least, loose), "a long, b long"), "verified")
+    own = F.pmod(F.xxhash64("row", "number"), F.col("blocks")).cast("int")
+    met = materialise(keyed.drop("keys").join(shared, ["number", "key"]).withColumn("own", own), "met")
+    spot, sketches = ["number", "key", "left", "right"], made.select("row", "fp", "keys", "shingles").hint("merge")
+
+    def verified(places: DataFrame, name: str) -> DataFrame:
+        """Links of rows that meet. What meets grows with the corpus, so it is never broadcast."""
+        dealt = places.join(sketches, "row").repartition(*spot).sortWithinPartitions(*spot).select(*spot, "cut", "own", "row", "fp", "keys", "shingles")
+        return materialise(dealt.mapInArrow(lambda it: _verify(it, least, loose), "a long, b long"), name)
+
+    links = verified(met.select("row", "number", "key", "own", F.col("own").alias("left"), F.col("own").alias("right"), (F.col("blocks") > 1).alias("cut")), "verified")
+    several = met.where("blocks > 1")
+    if not several.isEmpty():
+        links = links.unionByName(verified(_outside(several, connected_components(links), block), "verified"))
     component = connected_components(links)
     place = classes.select(F.col("first.row").alias("head"), "first").join(component, F.col("head") == F.col("node"), "left").withColumn("group", F.coalesce("component", "head"))
     kept = place.groupBy("group").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
