@@ -53,7 +53,7 @@ def test_probing_retrieves_every_code_within_the_radius(spark, lead):
     df = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(sub.view("<i8"))], "cls long, code array<long>")
     differ = np.bitwise_count(sub.view("<u2")[::20, None] ^ sub.view("<u2")[None])
     for t, whole in ((0, 384), (2, 90), (3, 200)):
-        got = [(r.q, r.v) for r in ann._pairs(ann._posted(df, lead), df.where("cls % 20 = 0"), lead, t, whole).collect()]
+        got = [(r.q, r.v) for r in ann._pairs(ann._posted(df, lead), df.where("cls % 20 = 0").selectExpr("*", f"{whole} AS whole"), lead, t).collect()]
         want = {(20 * i, j) for i, j in zip(*np.nonzero((differ.min(axis=2) <= t) & (differ.sum(axis=2) <= whole)), strict=True)}
         assert len(got) == len(set(got)) and set(got) == want
         certain = {(20 * i, j) for i, j in zip(*np.nonzero(differ.sum(axis=2) <= min(whole, ann.TABLES * (t + 1) - 1)), strict=True)}
