@@ -397,7 +397,7 @@ def _verify(batches: Iterator[pa.RecordBatch], least: float, loose: int) -> Iter
         yield found
 
 
-def drop_near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, loose: int = LOOSE, block: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, loose: int = LOOSE, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group of near copies: the one with the smallest id (null ids come last, equal ids in
     the order of rows).
 
