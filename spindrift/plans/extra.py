@@ -38,7 +38,7 @@ def q10_scaled_codes(spark, sf_dir):
 
 @query(W + """g AS (SELECT vec_id, max(CASE WHEN k = 0 THEN p END) AS own, max(CASE WHEN k > 0 THEN p END) AS near, sum(CASE WHEN k > 0 THEN p * cos(k * pi() / 3) END) AS dx, sum(CASE WHEN k > 0 THEN p * sin(k * pi() / 3) END) AS dy, max(CASE WHEN k = 0 THEN x END) AS peak FROM l GROUP BY vec_id)
 SELECT vec_id, round(near / greatest(own, 1e-10), 4) AS ratio, round(dx / greatest(own, 1e-10), 4) AS px, round(dy / greatest(own, 1e-10), 4) AS py, round(peak, 6) AS peak, CAST(least(greatest(round_even(dx * 1000, 0), -31), 31) AS BIGINT) AS code_x, CAST(least(greatest(round_even(dy * 1000, 0), -31), 31) AS BIGINT) AS code_y FROM g""")
-def f4_f5_spatial_features(spark, sf_dir):
+def f4_f5_position_features(spark, sf_dir):
     """ratio of the largest neighbour, displacement towards six neighbours, and clamped integer codes of it."""
     import math
 
@@ -85,7 +85,7 @@ def a18_cosine_radii(spark, sf_dir):
 @query(BASE + """, w AS (SELECT unit, avg(dist) AS within FROM own GROUP BY unit), g AS (SELECT a.unit, b.unit AS v, sum(abs(a.m - b.m)) AS gap FROM cen a JOIN cen b ON a.d = b.d AND a.unit <> b.unit GROUP BY a.unit, b.unit), m AS (SELECT unit, min(gap) AS gap FROM g GROUP BY unit)
 SELECT round(avg(within) / avg(gap), 6) AS ratio, count(*) AS units FROM w JOIN m ON m.unit = w.unit""")
 def a23_separability(spark, sf_dir):
-    """Mean distance within units over mean distance to the nearest other centroid."""
+    """Mean distance within units over mean distance to the nearest other centroid."""
     first, _, bank = fitted(spark, sf_dir)
     within = B.with_own(first, bank, "centroid").groupBy("unit").agg(F.avg(distance(F.col("q"), F.col("centroid"))).alias("within"))
     gaps = B.met(bank.select("unit", "centroid", "row_id"), bank.select("row_id", "unit", "centroid"), {"d": lambda u: distance(F.col("centroid"), u["centroid"])}, event="unit")
@@ -161,7 +161,7 @@ def t8_block_refit(spark, sf_dir):
 @query(BASE + """, n AS (SELECT vec_id, count(*) FILTER (WHERE dist <= r) AS c FROM pair JOIN rad ON rad.unit = u GROUP BY vec_id)
 SELECT count(*) * 10 * 64 * 5 AS global_bits, CAST(sum(CASE WHEN c > 1 THEN c ELSE 0 END) * 64 * 5 AS BIGINT) AS actual_bits, count(*) FILTER (WHERE c = 0) AS c0, count(*) FILTER (WHERE c = 1) AS c1, count(*) FILTER (WHERE c > 1) AS c2, count(*) * 10 * 9 AS lane_reads, count(*) * 10 * 64 * 5 >= 4 * CAST(sum(CASE WHEN c > 1 THEN c ELSE 0 END) * 64 * 5 AS BIGINT) AS four_fold FROM n""")
 def r4_r7_traffic(spark, sf_dir):
-    """Template bits read against a scan of all, lanes, and the split by candidate counts."""
+    """R4, R5 (lane reads): template bits read against a scan of all, lanes, and the split by candidate counts."""
     _, second, bank = fitted(spark, sf_dir)
     rows = B.met(second, bank, {"in": lambda u: distance(F.col("q"), u["centroid"]) <= u["radius"]}).select(F.size(F.filter("rows", lambda r: r["in"])).cast("long").alias("c"), F.size("rows").cast("long").alias("u"))
     reads = F.sum(F.when(F.col("c") > 1, F.col("c")).otherwise(0))
@@ -184,12 +184,32 @@ def r13_pairwise(spark, sf_dir):
 
 @query(BASE + """, x AS (SELECT CASE WHEN abs(x) * 100 > 15 THEN 1.0 ELSE 0 END AS s FROM lane) SELECT round(avg(s), 6) AS saturated, CAST(sum(s) AS BIGINT) AS n FROM x""")
 def r14_saturation(spark, sf_dir):
-    """Share of samples beyond the codes' range."""
+    """Share of samples beyond the codes' range."""
     lanes = events(spark, sf_dir).select(F.explode("w").alias("x"))
     over = (F.abs("x") * 100 > 15).cast("double")
     return lanes.agg(F.round(F.avg(over), 6).alias("saturated"), F.sum(over).cast("long").alias("n"))
 
 
+@query(W + """t AS (SELECT vec_id, max(p) AS top, max(p) FILTER (WHERE k = 0) AS own FROM l GROUP BY vec_id) SELECT count(*) AS n, count(*) FILTER (WHERE top > own) AS elsewhere, round(100.0 * count(*) FILTER (WHERE top > own) / count(*), 6) AS percent FROM t""")
+def r15_central_not_max(spark, sf_dir):
+    """Events whose central slot isn't their largest, and the percentage."""
+    f = footprints(spark, sf_dir).select((F.array_max("p") > F.col("p")[0]).alias("e"))
+    elsewhere, n = F.count(F.when(F.col("e"), 1)), F.count(F.lit(1))
+    return f.agg(n.alias("n"), elsewhere.alias("elsewhere"), F.round(100.0 * elsewhere / n, 6).alias("percent"))
+
+
+@query(W + """z AS (SELECT unit, k, avg(p) AS m FROM l GROUP BY unit, k), d AS (SELECT l.vec_id, l.unit, z.unit AS u, round(sum((l.p - z.m) * (l.p - z.m)), 9) AS s FROM l JOIN z ON z.k = l.k GROUP BY l.vec_id, l.unit, z.unit),
+w AS (SELECT vec_id, unit, u, row_number() OVER (PARTITION BY vec_id ORDER BY s, u) AS r FROM d) SELECT count(*) AS n, count(*) FILTER (WHERE u = unit) AS correct, round(count(*) FILTER (WHERE u = unit) * 1.0 / count(*), 6) AS accuracy FROM w WHERE r = 1""")
+def r12_centroid_oracle(spark, sf_dir):
+    """Accuracy of the nearest true centroid of footprints (squared distance, ties to the smaller unit)."""
+    f = footprints(spark, sf_dir)
+    bank = B.numbered(B.centroids(f, 7, codes="p", rounded=False))
+    gap = lambda u: F.round(V.total([(F.col("p")[i] - u["centroid"][i]) * (F.col("p")[i] - u["centroid"][i]) for i in range(7)]), 9)
+    rows = B.met(f, bank, {"d": gap})
+    hit = (B.nearest("rows", lambda r: r["d"])["unit"] == F.col("unit")).cast("long")
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.sum(hit).alias("correct"), F.round(F.sum(hit) / F.count(F.lit(1)), 6).alias("accuracy"))
+
+
 @query(S + """, m AS (SELECT channel, kind, avg(x) AS mean, count(*) AS n FROM s GROUP BY channel, kind), z AS (SELECT channel, stddev_pop(x) AS sd FROM s GROUP BY channel)
 SELECT kind, CAST(arg_min(m.channel, -round(mean / sd, 6) * 100000 + m.channel) AS BIGINT) AS main_channel, round(max(mean / sd), 6) AS snr FROM m JOIN z ON z.channel = m.channel WHERE n >= 5 AND sd > 0 GROUP BY kind""")
 def g12_snr(spark, sf_dir):
@@ -201,12 +221,12 @@ def g12_snr(spark, sf_dir):
     return r.groupBy("kind").agg(F.min(F.struct((-F.round("snr", 6)).alias("k"), "channel"))["channel"].alias("main_channel"), F.round(F.max("snr"), 6).alias("snr"))
 
 
-@query(S + ", d AS (SELECT channel, sum(x) AS total, count(*) AS n FROM s WHERE hour % 2 = 0 GROUP BY channel) SELECT channel, n, round(total / n, 6) AS mean FROM d WHERE channel IN (SELECT channel FROM s GROUP BY channel HAVING count(*) >= 20)")
+@query(S + ", d AS (SELECT channel, sum(x) AS total, count(*) AS n FROM s GROUP BY channel) SELECT channel, n, round(total / n, 6) AS mean FROM d WHERE channel IN (SELECT channel FROM s GROUP BY channel HAVING count(*) >= 20)")
 def s11_unit_filter(spark, sf_dir):
     """A semi-join keeps channels with enough events before they are summed."""
     s = samples(spark, sf_dir)
     enough = s.groupBy("channel").agg(F.count(F.lit(1)).alias("k")).where("k >= 20").select("channel")
-    return s.where("hour % 2 = 0").join(enough, "channel", "left_semi").groupBy("channel").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("x") / F.count(F.lit(1)), 6).alias("mean"))
+    return s.join(enough, "channel", "left_semi").groupBy("channel").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("x") / F.count(F.lit(1)), 6).alias("mean"))
 
 
 @query()

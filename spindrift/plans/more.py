@@ -140,7 +140,7 @@ def e2_counter(spark, sf_dir):
 
 @query()
 def e16_greedy_match(spark, sf_dir):
-    """One-to-one match of two kinds of events within an hour."""
+    """One-to-one match of two kinds of events within an hour."""
     s = samples(spark, sf_dir)
     return Q.match(s.where("kind = 'purchase'"), s.where("kind = 'error'"), 3600000000)
 
