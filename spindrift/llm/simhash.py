@@ -338,9 +338,14 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def _every(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """(2, n) of all pairs of the two: of one block each, so few."""
-    return np.stack([np.repeat(a, len(b)), np.tile(b, len(a))])
+def _similarities(ids: np.ndarray, ends: np.ndarray, size: np.ndarray, x: int, others: np.ndarray) -> np.ndarray:
+    """Similarities of set x to others, of sets that lie one after another in ``ids`` and end at ``ends``."""
+    mark = np.zeros(int(ids.max(initial=0)) + 1, dtype=bool)
+    mark[ids[ends[x] - size[x] : ends[x]]] = True
+    shared = np.concatenate([[0], np.cumsum(mark[ids])])
+    both = shared[ends[others]] - shared[ends[others] - size[others]]
+    union = size[x] + size[others] - both
+    return np.where(union > 0, both / np.maximum(union, 1), 1.0)
 
 
 def _verify(batches: Iterator[pa.RecordBatch], least: float, loose: int) -> Iterator[pa.RecordBatch]:
@@ -357,25 +362,31 @@ def _verify(batches: Iterator[pa.RecordBatch], least: float, loose: int) -> Iter
         a = np.flatnonzero(own == left)
         b = np.flatnonzero(own == right)
         size = np.array([len(x) for x in shingles])
-        i, j = within(fp[a], fp[b], loose)
-        few, any_ = a[size[a] < SMALL], b[size[b] < SMALL * 2]  # a set similar to a small one isn't twice as large
-        more = np.concatenate([np.stack([a[i], b[j]]), _every(few, any_), _every(a[size[a] < SMALL * 2], b[size[b] < SMALL])], axis=1)
-        i, j = np.unique(np.sort(more, axis=0), axis=1) if left == right else np.unique(more, axis=1)
-        i, j = (i[i < j], j[i < j]) if left == right else (i, j)
+        size_a, size_b = size[a][:, None], size[b][None, :]
+        # A set similar to a small one isn't twice as large.
+        meet = ((size_a < SMALL) & (size_b < SMALL * 2)) | ((size_a < SMALL * 2) & (size_b < SMALL))
+        if not meet.all():
+            meet[within(fp[a], fp[b], loose)] = True
         # Sets of too different sizes can't be similar; other pairs count under the first key they share.
-        fit = (np.minimum(size[i], size[j]) >= least * np.maximum(size[i], size[j])) & (row[i] != row[j])
+        meet &= np.minimum(size_a, size_b) >= least * np.maximum(size_a, size_b)
+        meet &= row[a][:, None] != row[b][None, :]
         if not rows.column("cut")[0].as_py():
-            fit &= (keys[i] == keys[j]).argmax(axis=1) == number
-        i, j = i[fit], j[fit]
+            for k in range(number):
+                meet &= keys[a, k][:, None] != keys[b, k][None, :]
+        if left == right:
+            meet = np.triu(meet, 1)
         group = np.arange(len(row))
         out_a, out_b = [], []
-        order = np.argsort(i, kind="stable")
-        i, j = i[order], j[order]
-        cuts = [0, *(np.flatnonzero(i[1:] != i[:-1]) + 1).tolist(), len(i)] if len(i) else [0]
-        for s, e in zip(cuts, cuts[1:], strict=False):
-            x = int(i[s])
-            for y in j[s:e].tolist():
-                if group[x] != group[y] and similarity(shingles[x], shingles[y]) >= least:
+        ends = ids = None
+        for k in np.flatnonzero(meet.any(axis=1)).tolist():
+            x = int(a[k])
+            others = b[meet[k] & (group[b] != group[x])]
+            if many := len(others) > 16 and len(others) * 16 >= len(row):  # one pass over the block's shingles for all
+                if ends is None:
+                    ends, ids = np.cumsum(size), np.unique(np.concatenate(shingles), return_inverse=True)[1]
+                others = others[_similarities(ids, ends, size, x, others) >= least]
+            for y in others.tolist():
+                if group[x] != group[y] and (many or similarity(shingles[x], shingles[y]) >= least):
                     low, high = sorted((int(group[x]), int(group[y])))
                     group[group == high] = low
                     out_a.append(row[x])

@@ -88,3 +88,14 @@ def test_documents(spark):
     assert [rows[i].component_id for i in (0, 1, 2, 3, None, 5, 6, 7)] == [0, 0, 0, 3, 3, 5, 5, 7]
     assert rows[7].fp & (2**64 - 1) == plain_fingerprint(texts[7])
     assert simhash.simhash_dedup(df.limit(0)).collect() == []
+
+
+def test_similarities_at_once_equal_single_ones():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 60, n).astype(np.uint32)) for n in (0, 1, 5, 0, 40, 200, 30, 30)]
+    size = np.array([len(x) for x in sets])
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    for x in range(len(sets)):
+        others = np.array([y for y in range(len(sets)) if y != x])
+        got = simhash._similarities(ids, np.cumsum(size), size, x, others)
+        assert got.tolist() == [simhash.similarity(sets[x], sets[y]) for y in others]
