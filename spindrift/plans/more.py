@@ -72,12 +72,13 @@ def j24_graph_union(spark, sf_dir):
     return rows.select("vec_id", text(found).alias("candidates")).where("candidates <> ''")
 
 
-@query("SELECT CAST(lanes AS INTEGER) AS lanes, CAST(lanes * 5 + CASE WHEN lanes * 31 > 0 THEN floor(log2(lanes * 31)) + 1 ELSE 1 END AS BIGINT) AS l1_bits, CAST(2 * lanes * 5 AS BIGINT) AS box_bits, CAST(lanes * 5 + floor(log2(lanes * 31)) + 1 + lanes AS BIGINT) AS masked_bits FROM range(1, 17) r(lanes)")
+@query("SELECT CAST(lanes AS INTEGER) AS lanes, CAST(lanes * 5 + CASE WHEN lanes * 31 > 0 THEN floor(log2(lanes * 31)) + 1 ELSE 1 END AS BIGINT) AS l1_bits, CAST(2 * lanes * 5 AS BIGINT) AS box_bits, CAST(lanes * 5 + floor(log2(lanes * 31)) + 1 + lanes AS BIGINT) AS masked_bits, CAST(lanes * 5 + floor(log2(lanes * 31)) + 1 + lanes * 10 AS BIGINT) AS dual_bits, CAST(lanes * 7 + floor(log2(lanes * 124)) + 1 AS BIGINT) AS weighted_bits FROM range(1, 17) r(lanes)")
 def r3_row_bits(spark, sf_dir):
-    """Storage of rows by lanes."""
+    """Storage of rows by lanes: L1, box, masked, both ranges at once, and weighted (two bits of shift a lane and
+    a radius of the fourfold scale)."""
     lanes = spark.range(1, 17).select(F.col("id").cast("int").alias("lanes"))
     w = M.width(F.col("lanes") * 31)
-    return lanes.select("lanes", (F.col("lanes") * 5 + w).alias("l1_bits"), (F.col("lanes") * 10).cast("long").alias("box_bits"), (F.col("lanes") * 6 + w).alias("masked_bits"))
+    return lanes.select("lanes", (F.col("lanes") * 5 + w).alias("l1_bits"), (F.col("lanes") * 10).cast("long").alias("box_bits"), (F.col("lanes") * 6 + w).alias("masked_bits"), (F.col("lanes") * 15 + w).alias("dual_bits"), (F.col("lanes") * 7 + M.width(F.col("lanes") * 124)).alias("weighted_bits"))
 
 
 @query("""WITH o AS (SELECT o_custkey AS unit, count(*) AS n, count(*) FILTER (WHERE o_totalprice > 150000) AS hits FROM orders GROUP BY 1)
