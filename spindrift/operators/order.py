@@ -104,6 +104,25 @@ def top(df: DataFrame, by: list[str], order: list[Column | str], k: int) -> Data
     return ranked(df, by, order, "_rank").where(F.col("_rank") <= k).drop("_rank")
 
 
+def numbered(df: DataFrame, order: list[Column | str], buckets: list[Column], name: str) -> DataFrame:
+    """Numbers all rows from 1 in ``order``, which must end in a column that breaks ties and holds no nulls. ``buckets``
+    rise with the order and take at most about 2^16 values together: rows are sorted within their bucket only, and
+    offsets come from the buckets' counts."""
+    keys = [f"_bucket{i}" for i in range(len(buckets))]
+    marked = df.withColumns(dict(zip(keys, buckets, strict=True)))
+    up_to = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)  # a row a bucket
+    before = marked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).withColumn("_before", F.coalesce(F.sum("_rows").over(up_to), F.lit(0)))
+    inside = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return marked.withColumn(name, inside).join(before, keys).withColumn(name, F.col(name) + F.col("_before")).drop(*keys, "_rows", "_before")
+
+
+def high_bits(df: DataFrame, key: str, bits: int) -> Column:
+    """The ``bits`` highest bits of the span of integer column ``key``: rises with the key, at most 2^bits values."""
+    c = df.agg(F.min(key).alias("a"), F.max(key).alias("b")).first()
+    low, width = (c["a"], (c["b"] - c["a"]).bit_length()) if c["a"] is not None else (0, 0)
+    return F.shiftright(F.col(key).cast("long") - low, max(0, width - bits))
+
+
 def changes(df: DataFrame, by: list[str], order: list[str], column: str) -> DataFrame:
     """Rows at which ``column`` differs from the row before, the first included."""
     before = F.lag(column).over(Window.partitionBy(*by).orderBy(*order))

@@ -36,18 +36,24 @@ def q10_scaled_codes(spark, sf_dir):
     return l.crossJoin(F.broadcast(one)).select("vec_id", F.col("slot").cast("long").alias("slot"), V.quantize_signed(x / p, 4).alias("signed4"), F.when(F.abs(x) <= p / 3, 0).otherwise(F.signum(x)).cast("long").alias("ternary"), V.quantize_unsigned(F.abs(x) / p, 4).alias("abs4"))
 
 
-@query(W + """g AS (SELECT vec_id, max(CASE WHEN k = 0 THEN p END) AS own, max(CASE WHEN k > 0 THEN p END) AS near, sum(CASE WHEN k > 0 THEN p * cos(k * pi() / 3) END) AS dx, sum(CASE WHEN k > 0 THEN p * sin(k * pi() / 3) END) AS dy, max(CASE WHEN k = 0 THEN x END) AS peak FROM l GROUP BY vec_id)
-SELECT vec_id, round(near / greatest(own, 1e-10), 4) AS ratio, round(dx / greatest(own, 1e-10), 4) AS px, round(dy / greatest(own, 1e-10), 4) AS py, round(peak, 6) AS peak, CAST(least(greatest(round_even(dx * 1000, 0), -31), 31) AS BIGINT) AS code_x, CAST(least(greatest(round_even(dy * 1000, 0), -31), 31) AS BIGINT) AS code_y FROM g""")
+@query(W + """g AS (SELECT vec_id, unit, max(CASE WHEN k = 0 THEN x END) AS peak, max(CASE WHEN k > 0 THEN p END) AS near, sum(CASE WHEN k > 0 THEN x * 20 * cos(k * pi() / 3) END) AS sx, sum(CASE WHEN k > 0 THEN x * 20 * sin(k * pi() / 3) END) AS sy, sum(CASE WHEN k > 0 THEN p * cos(k * pi() / 3) END) AS dx, sum(CASE WHEN k > 0 THEN p * sin(k * pi() / 3) END) AS dy FROM l GROUP BY vec_id, unit),
+e AS (SELECT *, CASE WHEN abs(peak) > 1e-10 THEN 1 / abs(peak) ELSE 0 END AS inv FROM g)
+SELECT vec_id, round(atan2(sy * inv, sx * inv), 4) AS angle, round(near * inv, 4) AS ratio, round(unit % 10 * 20 + sx * inv, 4) AS x_est, round(unit // 10 * 20 + unit % 2 * 7 + sy * inv, 4) AS y_est, round(peak, 6) AS peak, CAST(least(greatest(round_even(dx * 1000, 0), -31), 31) AS BIGINT) AS code_x, CAST(least(greatest(round_even(dy * 1000, 0), -31), 31) AS BIGINT) AS code_y FROM e""")
 def f4_f5_position_features(spark, sf_dir):
-    """ratio of the largest neighbour, displacement towards six neighbours, and clamped integer codes of it."""
+    """angle of the displacement by signed neighbours, ratio of the largest neighbour, position estimate and signed
+    peak; without a central amplitude, displacement and ratio are 0. F5 (without the fixed-point sine, cosine and
+    divider): clamped integer codes. A unit is its central channel; neighbours stand in six directions, 20 away."""
     import math
 
     f = footprints(spark, sf_dir)
-    p = [F.col("p")[k] for k in range(7)]
-    own = F.greatest(p[0], F.lit(1e-10))
+    p, w = ([F.col(c)[k] for k in range(7)] for c in ("p", "w"))
+    inverse = F.when(p[0] > 1e-10, 1 / p[0]).otherwise(0.0)
+    ex, ey = (V.total([w[k] * 20 * g(k * math.pi / 3) for k in range(1, 7)]) * inverse for g in (math.cos, math.sin))
     dx, dy = (V.total([p[k] * g(k * math.pi / 3) for k in range(1, 7)]) for g in (math.cos, math.sin))
     code = lambda v: F.least(F.greatest(R.half_even(v * 1000), F.lit(-31)), F.lit(31)).cast("long")
-    return f.select("vec_id", F.round(F.greatest(*p[1:]) / own, 4).alias("ratio"), F.round(dx / own, 4).alias("px"), F.round(dy / own, 4).alias("py"), F.round(F.col("w")[0], 6).alias("peak"), code(dx).alias("code_x"), code(dy).alias("code_y"))
+    x, y = F.col("unit") % 10 * 20, F.floor(F.col("unit") / 10) * 20 + F.col("unit") % 2 * 7
+    four = {"angle": F.atan2(ey, ex), "ratio": F.greatest(*p[1:]) * inverse, "x_est": x + ex, "y_est": y + ey}
+    return f.select("vec_id", *[F.round(c, 4).alias(name) for name, c in four.items()], F.round(w[0], 6).alias("peak"), code(dx).alias("code_x"), code(dy).alias("code_y"))
 
 
 @query(W + """m AS (SELECT vec_id, kk, sum(p * k * 20) / greatest(sum(p), 1e-10) / 120 AS com, max(p) / greatest(sum(p), 1e-10) AS sharp FROM l, (VALUES (3), (5), (7)) s(kk) WHERE k < kk GROUP BY vec_id, kk)
@@ -67,11 +73,12 @@ def f14_f16_scales(spark, sf_dir):
 
 @query(W + "o AS (SELECT vec_id, unit, row_number() OVER (ORDER BY vec_id * 7919 % 1009, vec_id) AS r, row_number() OVER (ORDER BY vec_id) AS n FROM ev) SELECT a.vec_id, a.unit, b.unit AS permuted FROM o a JOIN o b ON b.r = a.n")
 def f26_permuted_labels(spark, sf_dir):
-    """labels permuted by a stated order, for attribution. The permutation itself is one ordered numbering."""
+    """labels permuted by a stated order, for attribution. Both numberings sort within buckets of the key."""
     ev = footprints(spark, sf_dir).select("vec_id", "unit")
-    n = ev.withColumn("n", F.row_number().over(Window.orderBy("vec_id")))
-    r = ev.select(F.col("unit").alias("permuted"), F.row_number().over(Window.orderBy(F.col("vec_id") * 7919 % 1009, "vec_id")).alias("n"))
-    return n.join(r, "n").select("vec_id", "unit", "permuted")
+    mixed = F.col("vec_id") * 7919 % 1009
+    n = O.numbered(ev, ["vec_id"], [O.high_bits(ev, "vec_id", 16)], "n")
+    r = O.numbered(ev, [mixed, "vec_id"], [mixed, O.high_bits(ev, "vec_id", 6)], "n")
+    return n.join(r.select(F.col("unit").alias("permuted"), "n"), "n").select("vec_id", "unit", "permuted")
 
 
 @query(BASE + """, dd AS (SELECT f.vec_id, f.unit, 1 - sum(c * m) / (sqrt(sum(c * c)) * sqrt(sum(m * m))) AS s FROM fitc f JOIN cen ON cen.unit = f.unit AND cen.d = f.d GROUP BY f.vec_id, f.unit) SELECT unit, round(quantile_cont(s, 0.95), 6) AS radius FROM dd GROUP BY unit""")
