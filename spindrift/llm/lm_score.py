@@ -10,10 +10,11 @@ of the base-10 logarithms over all positions of a text.
 
 Plan: one pass counts contexts and symbols of the training texts' positions, summed within a task before they are
 shuffled. The trie goes to the executors as sorted arrays if it has at most ``trie_rows`` edges, checked before it
-is gathered; a larger one stays a table, and the distinct contexts and symbols of each chunk of texts are looked up
-by joins, with equal results. The pass that scores the texts also numbers the words of each block of texts, and writes
-the texts as word numbers and the blocks' words with counts. Counts are summed by word, go back to their blocks, and
-meet their texts there: one block a task.
+is gathered; a larger one is cut into parts by the last two symbols of a context, each built by one task and written
+to the shared folder, and a task takes its texts, a group of chunks at a time, past all parts in turn, with equal
+results: neither texts nor contexts are shuffled for it, and a worker holds one part. The pass that scores the texts also
+numbers the words of each block of texts, and writes the texts as word numbers and the blocks' words with counts. Counts
+are summed by word, go back to their blocks, and meet their texts there: one block a task.
 
 Defined cases: a null text is an empty one, which is an end alone; a null id is the text of no digits for the
 fold; without any training row the base is that of counts of zero, and symbols are equally likely; an empty
@@ -23,16 +24,17 @@ chunk, whose positions one task holds; other columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spindrift.llm._store import materialise
+from spindrift.llm._store import filesystem, materialise, new_path, publish, release
 
 #: Longest context in bytes, and symbols: the bytes and the end of a text.
 ORDER, SYMBOLS = 5, 257
@@ -43,6 +45,8 @@ _BLOCK_BYTES = 24 << 20
 #: Bytes of text whose positions are held at a time, and distinct contexts that a task sums before it passes them on.
 _CHUNK_BYTES, _HELD_GRAMS = 2 << 20, 1_000_000
 _TRIE_ROWS = 4_000_000
+#: Bytes of text that meet all parts of a large trie at once, and edges of a part, about.
+_GROUP_BYTES, _PART_ROWS = 16 << 20, 1_000_000
 
 
 # ------------------------------------------------------------------ symbols
@@ -82,14 +86,15 @@ def context_length(full: np.ndarray) -> np.ndarray:
 class Trie:
     """Counts by (order, context, symbol) as sorted arrays; ``log10(full)`` for contexts and symbols."""
 
-    def __init__(self, full: np.ndarray, counts: np.ndarray):
-        """``full``: distinct longest contexts with symbols, ``counts``: how often each was seen in training."""
-        length = context_length(full)
+    def __init__(self, full: np.ndarray, counts: np.ndarray, low: tuple[np.ndarray, np.ndarray] | None = None):
+        """``full``: distinct longest contexts with symbols, ``counts``: how often each was seen in training. Of a part
+        of a trie, ``low`` has the same of the whole trie's contexts of one symbol."""
         self.edges, self.edge_counts, self.nodes, self.totals, self.kinds, self.above = [], [], [], [], [], []
         for order in range(ORDER + 1):
-            has = length >= order
-            edges, inverse = np.unique(shorter(full[has], order), return_inverse=True)
-            c = np.bincount(inverse, counts[has], len(edges))
+            every, c = (full, counts) if low is None or order > 1 else low
+            has = context_length(every) >= order
+            edges, inverse = np.unique(shorter(every[has], order), return_inverse=True)
+            c = np.bincount(inverse, c[has], len(edges))
             nodes, first = np.unique(edges >> _BITS, return_index=True)
             bounds = np.r_[first, len(edges)].astype(np.int64)
             self.edges.append(edges)
@@ -152,6 +157,35 @@ def _distinct(full: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return coded.dictionary.to_numpy(), coded.indices.to_numpy()
 
 
+def part_of(full, parts: int):
+    """The part of a trie in which a context is, by its last two symbols; of numbers or a column. All longer contexts
+    that end alike are in the same part; shorter ones are in every part."""
+    pair = (full.bitwiseAND(F.lit(((1 << 2 * _BITS) - 1) << _BITS)) if isinstance(full, Column) else full & (((1 << 2 * _BITS) - 1) << _BITS))
+    mixed = pair * 0x9E3779B9
+    return F.pmod(F.shiftright(mixed, 29), F.lit(parts)) if isinstance(full, Column) else (mixed >> 29) % parts
+
+
+def scores_by_parts(parts: int, load, texts: list[list[bytes]]) -> list[np.ndarray]:
+    """:func:`scores` of chunks of texts by a trie in parts, each loaded once: ``load(part)``."""
+    places, inverses, own = [], [], []
+    for chunk in texts:
+        full, place = positions(chunk)
+        distinct, inverse = _distinct(full)
+        places.append(place)
+        inverses.append(inverse)
+        own.append(distinct)
+    every, at = _distinct(np.concatenate(own))
+    order = np.argsort(every)
+    order = order[np.argsort(part_of(every[order], parts), kind="stable")]
+    bounds = np.searchsorted(part_of(every[order], parts), np.arange(parts + 1))
+    logp = np.empty(len(every))
+    for part, (first, last) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+        if first < last:
+            logp[order[first:last]] = load(part).log10(every[order[first:last]])
+    cuts = np.cumsum([0, *map(len, own)])
+    return [np.bincount(place, logp[at[c : c + len(o)]][inverse], len(chunk)) for place, inverse, o, c, chunk in zip(places, inverses, own, cuts.tolist(), texts, strict=False)]
+
+
 # ------------------------------------------------------------------ Spark
 
 
@@ -279,80 +313,49 @@ def _texts_by_arrays(docs: DataFrame, edges: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, _PASS)
 
 
-def _texts_by_joins(docs: DataFrame, edges: DataFrame) -> DataFrame:
-    """The same without gathering the trie: each chunk's distinct contexts and symbols are looked up by joins."""
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        for i, (b, _) in enumerate(_chunks(batches)):
-            chunk = (TaskContext.get().partitionId() << 32) + i
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, chunk)), *b.columns], ["chunk", *b.schema.names])
-
-    def symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            chunk = b.column(0).to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(chunk)]
-            for first, last in zip(cuts, cuts[1:], strict=False):
-                for _, texts in _chunks([b.slice(first, last - first).select(["doc_id", "text", "held_out"])]):
-                    own, _ = _distinct(positions(texts)[0])
-                    for k in range(0, len(own), 200_000):
-                        part = own[k : k + 200_000]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), chunk[first])), pa.array(part)], ["of_chunk", "full"])
-
-    def deliver(key, texts: pa.Table, scored: pa.Table) -> pa.Table:
-        order = np.argsort(scored.column("full").to_numpy())
-        full, logp = scored.column("full").to_numpy()[order], scored.column("logp").to_numpy()[order]
-        own, place = positions([(t or "").encode().lower() for t in texts.column("text").to_pylist()])
-        distinct, inverse = _distinct(own)
-        score = np.bincount(place, logp[np.searchsorted(full, distinct)][inverse], texts.num_rows)
-        return texts.drop_columns("chunk").append_column("score", pa.array(score))
-
-    kept = materialise(docs.mapInArrow(number, "chunk long, doc_id long, text string, held_out boolean"), "chunks")
-    grams = materialise(kept.mapInArrow(symbols, "of_chunk long, full long"), "grams")
-    scored = grams.join(_logp_by_joins(grams.select("full").distinct(), edges), "full")
-    n = max(1, kept.select("chunk").distinct().count())  # a chunk or two a task, however many there are
-    met = kept.repartition(n, "chunk").groupBy("chunk").cogroup(scored.repartition(n, "of_chunk").groupBy("of_chunk"))
-    return met.applyInArrow(deliver, "doc_id long, text string, held_out boolean, score double").mapInArrow(_number, _PASS)
-
-
-def _logp_by_joins(grams: DataFrame, edges: DataFrame) -> DataFrame:
-    """full and logp of distinct contexts with symbols. At each order only those not yet coded are looked up, by node and
-    by edge. There are at most 257 nodes of order 1 and 257 x 257 edges, whatever the corpus: below order 2 these tables
-    are broadcast, so no few keys gather all rows."""
-
-    def cut(c: F.Column, order: int) -> F.Column:
-        return c.bitwiseAND(F.lit((1 << _BITS * (order + 1)) - 1))
-
-    def length(c: F.Column) -> F.Column:
-        return sum((F.shiftright(c, _BITS * k) > 0).cast("int") for k in range(1, ORDER + 1))
-
-    todo = grams.withColumns({"logp": F.lit(0.0), "x": F.lit(0.0), "xk": F.lit(0.0)})
-    coded = []
-    by_order = [materialise(edges.where(length(F.col("full")) >= k).groupBy(cut(F.col("full"), k).alias("e")).agg(F.sum("c").cast("double").alias("ec")), "edges") for k in range(ORDER + 1)]
-    for k in range(ORDER, -1, -1):
-        bounded = F.broadcast if k < 2 else (lambda df: df)
-        own = by_order[k].withColumn("node", F.shiftright("e", _BITS))
-        if k:
-            parent = by_order[k - 1].select(F.col("e").alias("pe"), F.col("ec").alias("pc"))
-            own = own.withColumn("pe", cut(F.col("e"), k - 1)).join(bounded(parent), "pe")
-        else:
-            own = own.withColumn("pc", F.lit(0.0))
-        nodes = materialise(own.groupBy("node").agg(F.sum("ec").alias("nt"), F.count(F.lit(1)).cast("double").alias("nk"), F.sum("pc").alias("na")), "nodes")
-        reaches = length(F.col("full")) >= k
-        met = todo.where(reaches).withColumn("e", cut(F.col("full"), k)).withColumn("node", F.shiftright("e", _BITS))
-        met = met.join(bounded(nodes), "node", "left").join(bounded(by_order[k]), "e", "left")
-        kinds, seen, hit = F.col("nk") - F.col("xk"), F.col("nt").isNotNull(), F.col("ec").isNotNull()
-        whole = 2 * (F.col("nt") - F.col("x"))
-        step = F.when(hit, F.log10((2 * F.col("ec") - 1) / whole)).when(seen & (kinds > 0), F.log10(kinds / whole)).otherwise(0.0)
-        state = materialise(met.select("full", (F.col("logp") + step).alias("logp"), F.coalesce("na", "x").alias("x"), F.coalesce("nk", "xk").alias("xk"), hit.alias("done")), "state")
-        coded.append(state.where("done").select("full", "logp"))
-        todo = state.where("NOT done").drop("done").unionByName(todo.where(~reaches))
-    root = by_order[0].agg((F.lit(SYMBOLS) - F.count(F.lit(1))).alias("rest"))
-    last = todo.crossJoin(F.broadcast(root)).select("full", (F.col("logp") - F.log10("rest")).alias("logp"))  # one row
-    for c in coded:
-        last = last.unionByName(c)
-    return last
+def _texts_by_parts(docs: DataFrame, edges: DataFrame, parts: int, folder: str) -> DataFrame:
+    """The same without gathering the trie: its parts are files of ``folder``, which each group of chunks reads in turn."""
+    one = F.col("full").bitwiseAND(F.lit((1 << 2 * _BITS) - 1))
+    got = edges.groupBy(one.alias("full")).agg(F.sum("c").alias("c")).toArrow()  # at most 257 x 257 rows
+    low = (got.column("full").to_numpy(), got.column("c").to_numpy().astype(float))
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(batches, pa.schema([("part", pa.int64()), ("full", pa.int64()), ("c", pa.int64())]))
+        part, full, c = (rows.column(k).to_numpy() for k in rows.column_names)
+        for k in np.unique(part).tolist():
+            data = pickle.dumps(Trie(full[part == k], c[part == k].astype(float), low), protocol=5)
+            publish(f"{folder}/{k}", lambda out, data=data: out.write(data))
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64())], ["part"])
+
+    cut = edges.select(part_of(F.col("full"), parts).alias("part"), "full", "c").repartition(parts, "part")
+    built = {r.part for r in cut.mapInArrow(build, "part long").collect()}  # a number a part
+
+    def load(part: int) -> Trie:
+        if part not in built:  # no training text has such contexts
+            return Trie(low[0][:0], low[1][:0], low)
+        fs_, path = filesystem(f"{folder}/{part}")
+        with fs_.open_input_stream(path, compression=None) as f:
+            return pickle.loads(f.read())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def group(held: list[tuple[pa.RecordBatch, list[bytes]]]) -> Iterator[pa.RecordBatch]:
+            for (b, _), score in zip(held, scores_by_parts(parts, load, [texts for _, texts in held]) if held else [], strict=True):
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score)], [*b.schema.names, "score"])
+
+        def scored() -> Iterator[pa.RecordBatch]:
+            held, size = [], 0
+            for b, texts in _chunks(batches):
+                own = sum(map(len, texts))
+                if held and size + own > _GROUP_BYTES:
+                    yield from group(held)
+                    held, size = [], 0
+                held.append((b, texts))
+                size += own
+            yield from group(held)
+
+        return _number(scored())
+
+    return docs.mapInArrow(run, _PASS)
 
 
 def _deliver(key, texts: pa.Table, words: pa.Table) -> pa.Table:
@@ -375,7 +378,12 @@ def lm_scores(docs: DataFrame, folds: int = 7, held: int = 2, trie_rows: int = _
     out = F.coalesce(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds == held, F.lit(False))
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), out.alias("held_out"))
     edges = materialise(docs.mapInArrow(_text_counts, "full long, c long").groupBy("full").agg(F.sum("c").alias("c")), "trie")
-    numbered = materialise(_texts_by_arrays(docs, edges) if edges.count() <= trie_rows else _texts_by_joins(docs, edges), "numbered")
+    if (n := edges.count()) <= trie_rows:
+        numbered = materialise(_texts_by_arrays(docs, edges), "numbered")
+    else:
+        folder = new_path(docs.sparkSession, "trie-parts")
+        numbered = materialise(_texts_by_parts(docs, edges, -(-n // _PART_ROWS), folder), "numbered")
+        release(docs.sparkSession, [folder])
     in_blocks = numbered.where("word IS NOT NULL").select(F.col("block").alias("of_block"), "word", "number", "count")
     words = materialise(in_blocks.groupBy("word").agg(F.sum("count").alias("c")), "words")
     sizes = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()

@@ -1,4 +1,5 @@
 import math
+import os
 import zlib
 from collections import Counter, defaultdict
 
@@ -105,3 +106,21 @@ def test_order_of_words_counts(spark):
     rows = [(i, "green tea and black tea") for i in train] + [(a, "green tea and black tea"), (b, "tea black green and tea")]
     got = {r.doc_id: r for r in lm_score.lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[a].base_score == pytest.approx(got[b].base_score) and got[a].score > got[b].score + 1
+
+
+def test_large_trie_comes_in_parts(spark, docs, monkeypatch):
+    """Several parts and groups give the same as arrays; texts and contexts aren't written or shuffled for them."""
+    df = spark.createDataFrame(docs, "doc_id long, text string, score double").repartition(3)
+    want = {r.doc_id: r for r in lm_score.lm_scores(df).collect()}
+    written, kept, parts = [], lm_score.materialise, []
+    monkeypatch.setattr(lm_score, "materialise", lambda d, name: (written.append(name), kept(d, name))[1])
+    monkeypatch.setattr(lm_score, "release", lambda s, paths: parts.extend(paths))
+    monkeypatch.setattr(lm_score, "_PART_ROWS", 300)
+    monkeypatch.setattr(lm_score, "_CHUNK_BYTES", 1000)
+    monkeypatch.setattr(lm_score, "_GROUP_BYTES", 3000)
+    rows = lm_score.lm_scores(df, trie_rows=0).collect()
+    assert len(rows) == len(docs) and written == ["trie", "numbered", "words"]
+    for r in rows:
+        assert r.score == pytest.approx(want[r.doc_id].score, rel=1e-12) and r[:6] == want[r.doc_id][:6]
+    (folder,) = parts
+    assert len([f for f in os.listdir(folder.removeprefix("file:")) if not f.startswith(".")]) > 3
