@@ -296,6 +296,8 @@ _ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB866
 #: Bits in which the fingerprints of larger sets may differ before their shingles are compared. Of two large sets with a
 #: similarity of 0.8 each bit differs with a probability of 0.152, and more than 28 of 64 for one pair in 100 million.
 LOOSE = 28
+#: Bitmaps of 32,768 rows (4 KB each) that are broadcast at most.
+MOST_BITMAPS = 1 << 14
 #: Sets of fewer shingles are compared by these whatever their fingerprints are: few shingles make noisy bits.
 SMALL = 64
 
@@ -427,6 +429,18 @@ def drop_near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, loose:
     return rows.join(dropped, F.col("_row") == F.col("_dropped"), "left_anti").select(*docs.columns)
 
 
+def _meeting(sketches: DataFrame, places: DataFrame, most: int | None = None) -> DataFrame:
+    """The sketches of rows that have a place, so that only their shingles move. Which rows these are is broadcast as
+    bitmaps, a bit a document; were they more than ``most``, all sketches would move, with equal results."""
+    bucket, bit = F.bitmap_bucket_number("row"), F.bitmap_bit_position("row")
+    wanted = materialise(places.groupBy(bucket.alias("_bucket")).agg(F.bitmap_construct_agg(bit).alias("_bits")), "wanted")
+    if wanted.count() > (MOST_BITMAPS if most is None else most):
+        return sketches
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = sketches.join(F.broadcast(wanted), bucket == F.col("_bucket"))
+    return marked.where(F.getbit(byte, (bit % 8).cast("int")) == 1).select(*sketches.columns)
+
+
 def _outside(met: DataFrame, component: DataFrame, block: int) -> DataFrame:
     """Places where the rows of a key outside its largest component meet all rows of the key. Blocks of these rows are
     numbered from 0, blocks of all rows from -1 downwards."""
@@ -457,11 +471,11 @@ def _copies(docs: DataFrame, words: int, least: float, loose: int, block: int, i
     shared = materialise(fresh.select("number", "key", F.ceil(F.col("c") / block).cast("int").alias("blocks")), "shared")
     own = F.pmod(F.xxhash64("row", "number"), F.col("blocks")).cast("int")
     met = materialise(keyed.drop("keys").join(shared, ["number", "key"]).withColumn("own", own), "met")
-    spot, sketches = ["number", "key", "left", "right"], made.select("row", "fp", "keys", "shingles").hint("merge")
+    spot, sketches = ["number", "key", "left", "right"], made.select("row", "fp", "keys", "shingles")
 
     def verified(places: DataFrame, name: str) -> DataFrame:
-        """Links of rows that meet. What meets grows with the corpus, so it is never broadcast."""
-        dealt = places.join(sketches, "row").repartition(*spot).sortWithinPartitions(*spot).select(*spot, "cut", "own", "row", "fp", "keys", "shingles")
+        """Links of rows that meet. What meets grows with the corpus, so it is never broadcast but as bits."""
+        dealt = places.join(_meeting(sketches, places).hint("merge"), "row").repartition(*spot).sortWithinPartitions(*spot).select(*spot, "cut", "own", "row", "fp", "keys", "shingles")
         return materialise(dealt.mapInArrow(lambda it: _verify(it, least, loose), "a long, b long"), name)
 
     links = verified(met.select("row", "number", "key", "own", F.col("own").alias("left"), F.col("own").alias("right"), (F.col("blocks") > 1).alias("cut")), "verified")

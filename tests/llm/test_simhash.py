@@ -99,3 +99,14 @@ def test_similarities_at_once_equal_single_ones():
         others = np.array([y for y in range(len(sets)) if y != x])
         got = simhash._similarities(ids, np.cumsum(size), size, x, others)
         assert got.tolist() == [simhash.similarity(sets[x], sets[y]) for y in others]
+
+
+def test_only_sketches_that_meet_move(spark):
+    ids = [0, 1, 2, 7, 8, 9, 32767, 32768, 32769, *range(65530, 65550), *((3 << 33) + i for i in range(40)), (1 << 50) + 5]
+    wanted = [i for i in ids if i % 3 == 1 or i in (0, 32768, (3 << 33))]
+    sketches = spark.createDataFrame([(i, bytes([i % 256])) for i in ids], "row long, shingles binary")
+    places = spark.createDataFrame([(i, k) for i in wanted for k in range(3)], "row long, number int")
+    got = simhash._meeting(sketches, places)
+    assert sorted(r.row for r in got.collect()) == sorted(wanted) and got.columns == sketches.columns
+    assert sorted(r.row for r in simhash._meeting(sketches, places, most=1).collect()) == sorted(ids)
+    assert simhash._meeting(sketches, places.limit(0)).collect() == []
